@@ -3,23 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing
+from . import line_runs, mixing
 from .common import Work
 
+#: Lines of the shortest repeated run that is deleted.
+MIN_LINES = 2
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_runs.line_dedup(table(spark, sf_dir, "documents"), Work(spark, "lines"), MIN_LINES)
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return out.select("doc_id", F.col("loom_lines").cast("long").alias("n_lines"), F.col("loom_removed").cast("long").alias("n_removed"), kept.alias("kept_sha256"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), Work(spark, "mix"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict:
-    return {"op7_mix": op7_mix}
+    return {"op6_line_dedup": op6_line_dedup, "op7_mix": op7_mix}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mix": mixing.sql()}
+    return {"op6_line_dedup": line_runs.sql(MIN_LINES), "op7_mix": mixing.sql()}
