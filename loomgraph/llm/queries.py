@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_runs, mixing
+from . import audio, langid, line_runs, mixing
 from .common import Work
 
 #: Lines of the shortest repeated run that is deleted.
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.audio_features(table(spark, sf_dir, "documents"), real=False)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_runs.line_dedup(table(spark, sf_dir, "documents"), Work(spark, "lines"), MIN_LINES)
     kept = F.sha2(F.coalesce("text", F.lit("")), 256)
@@ -27,8 +31,14 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out(F.col("doc_id")).alias("held_out"))
+    model = langid.fit(docs.where(~F.col("held_out")))
+    return langid.identify(docs, model).select("doc_id", "held_out", F.col("loom_lang.lang").alias("lang_pred"), F.col("loom_lang.score").alias("score"))
+
+
 def queries() -> dict:
-    return {"op6_line_dedup": op6_line_dedup, "op7_mix": op7_mix}
+    return {f.__name__: f for f in (op2_audio, op6_line_dedup, op7_mix, op9_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
