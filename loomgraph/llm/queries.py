@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, langid, line_runs, mixing
+from . import audio, langid, licenses, line_runs, mixing, permutation_ann
 from .common import Work
 
 #: Lines of the shortest repeated run that is deleted.
@@ -20,6 +20,10 @@ def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.audio_features(table(spark, sf_dir, "documents"), real=False)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_runs.line_dedup(table(spark, sf_dir, "documents"), Work(spark, "lines"), MIN_LINES)
     kept = F.sha2(F.coalesce("text", F.lit("")), 256)
@@ -37,9 +41,13 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", "held_out", F.col("loom_lang.lang").alias("lang_pred"), F.col("loom_lang.score").alias("score"))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, Work(spark, "ann"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_audio, op6_line_dedup, op7_mix, op9_langid)}
+    return {f.__name__: f for f in (op2_audio, op3_license_scan, op6_line_dedup, op7_mix, op9_langid, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": line_runs.sql(MIN_LINES), "op7_mix": mixing.sql()}
+    return {"op3_license_scan": licenses.sql(), "op6_line_dedup": line_runs.sql(MIN_LINES), "op7_mix": mixing.sql()}
