@@ -5,17 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, langid, licenses, line_runs, mixing, permutation_ann
+from . import audio, idcoder, langid, licenses, line_runs, mixing, packing, permutation_ann
 from .common import Work
 
 #: Lines of the shortest repeated run that is deleted.
 MIN_LINES = 2
 
 
+def tokenizer() -> str:
+    """The vocabulary file; it is installed with Python on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), Work(spark, "pack"), tokenizer())
+
+
 def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.audio_features(table(spark, sf_dir, "documents"), real=False)
 
@@ -24,6 +35,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
 
 
+def op4_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idcoder.read_ids(idcoder.write_ids(table(spark, sf_dir, "documents"), Work(spark, "ids"), tokenizer()))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_runs.line_dedup(table(spark, sf_dir, "documents"), Work(spark, "lines"), MIN_LINES)
     kept = F.sha2(F.coalesce("text", F.lit("")), 256)
@@ -46,7 +61,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_audio, op3_license_scan, op6_line_dedup, op7_mix, op9_langid, op10_ann)}
+    return {f.__name__: f for f in (op1_pack, op2_audio, op3_license_scan, op4_ids, op6_line_dedup, op7_mix, op9_langid, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -104,8 +104,8 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, dtype=np.uint8), at
 
 
-def words_of(data: np.ndarray, at: np.ndarray) -> Words:
-    """Split and hash the documents data[at[d]:at[d+1]]."""
+def words_of(data: np.ndarray, at: np.ndarray, cut: np.ndarray | None = None) -> Words:
+    """Split and hash the documents data[at[d]:at[d+1]]; ``cut`` marks bytes that start a word in any case."""
     base = int(at[0])
     body = data[base : int(at[-1])]
     edges = at - base
@@ -119,11 +119,15 @@ def words_of(data: np.ndarray, at: np.ndarray) -> Words:
     before[1:] = inside[:-1]
     cuts = edges[(edges > 0) & (edges < n)]
     before[cuts] = False
+    if cut is not None:
+        before &= ~cut
     start = np.flatnonzero(inside & ~before)
     after = np.empty(n, dtype=bool)
     after[-1] = False
     after[:-1] = inside[1:]
     after[cuts - 1] = False
+    if cut is not None:
+        after[:-1] &= ~cut[1:]
     end = np.flatnonzero(inside & ~after) + 1
     up, down = powers(BYTE_BASE, n)
     sums = np.empty(n + 1, dtype=U)
