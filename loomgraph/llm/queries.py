@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, idcoder, langid, licenses, line_runs, mixing, packing, permutation_ann
+from . import audio, idcoder, langid, licenses, line_runs, mixing, order_minhash, packing, permutation_ann
 from .common import Work
 
 #: Lines of the shortest repeated run that is deleted.
@@ -39,6 +39,10 @@ def op4_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idcoder.read_ids(idcoder.write_ids(table(spark, sf_dir, "documents"), Work(spark, "ids"), tokenizer()))
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"), Work(spark, "near"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_runs.line_dedup(table(spark, sf_dir, "documents"), Work(spark, "lines"), MIN_LINES)
     kept = F.sha2(F.coalesce("text", F.lit("")), 256)
@@ -61,7 +65,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pack, op2_audio, op3_license_scan, op4_ids, op6_line_dedup, op7_mix, op9_langid, op10_ann)}
+    return {f.__name__: f for f in (op1_pack, op2_audio, op3_license_scan, op4_ids, op5_near_dup, op6_line_dedup, op7_mix, op9_langid, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
