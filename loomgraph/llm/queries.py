@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, idcoder, langid, licenses, line_runs, mixing, order_minhash, packing, permutation_ann
+from . import audio, idcoder, langid, licenses, line_runs, mixing, order_minhash, packing, permutation_ann, phrases
 from .common import Work
 
 #: Lines of the shortest repeated run that is deleted.
@@ -54,6 +54,10 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrase_dedup(table(spark, sf_dir, "documents"), Work(spark, "phrases")).drop("spans")
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out(F.col("doc_id")).alias("held_out"))
     model = langid.fit(docs.where(~F.col("held_out")))
@@ -65,8 +69,8 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pack, op2_audio, op3_license_scan, op4_ids, op5_near_dup, op6_line_dedup, op7_mix, op9_langid, op10_ann)}
+    return {f.__name__: f for f in (op1_pack, op2_audio, op3_license_scan, op4_ids, op5_near_dup, op6_line_dedup, op7_mix, op8_phrases, op9_langid, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": licenses.sql(), "op6_line_dedup": line_runs.sql(MIN_LINES), "op7_mix": mixing.sql()}
+    return {"op3_license_scan": licenses.sql(), "op6_line_dedup": line_runs.sql(MIN_LINES), "op7_mix": mixing.sql(), "op8_phrases": phrases.sql()}
