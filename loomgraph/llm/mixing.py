@@ -40,31 +40,24 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     return levels.withColumn("final", level).select("source", "source_size", F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("final") * F.col("weight"))).alias("target"))
 
 
-def mix(docs: DataFrame, work: Work, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """How many words of every document the mix takes.
+def hashed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Adds the hash digits h0, h1, ... of every document's id."""
+    digits = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    return docs.withColumns({f"h{k}": F.conv(F.substring(digits, 1 + DIGITS * k, DIGITS), 16, 10).cast("int") for k in range(LEVELS)})
 
-    Returns doc_id, source, size, source_size, target, copies, taken.  A source
-    with target t and size s gives floor(t / s) copies of each document and one
-    more of those whose hash lies below the source's threshold.  The threshold
-    comes from nested histograms: words summed by source and leading hash
-    digits, then the boundary bucket alone by the next digits, LEVELS times;
-    the last boundary bucket is taken if that comes nearer the budget.  No
-    document is sorted, and lower targets take subsets of higher ones.
 
-    A null or empty text has size 0 and takes nothing; a null source is a
-    source of its own; repeated rows of one doc_id share their fate; an empty
-    table gives an empty result; other columns are ignored.
+def thresholds(rows: DataFrame, work: Work, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """What every source gives: (of, source_size, target, base, budget, cut, with_cut).
+
+    ``rows`` is (source, size, h0, ...).  ``base`` copies of every document are
+    taken and one more of those whose hash is below ``cut``.
     """
-    digits = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    part = lambda k: F.conv(F.substring(digits, 1 + DIGITS * k, DIGITS), 16, 10).cast("int").alias(f"h{k}")
-    rows = work.table(docs.select(F.col(key).alias("doc_id"), "source", n_words(F.col(text)).alias("size"), *[part(k) for k in range(LEVELS)]), "sizes")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = work.table(targets.withColumn("base", whole).withColumn("budget", F.col("target") - F.col("base") * F.col("source_size")), "targets")
     left = plan.select("source", F.col("budget").alias("left"))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
     for k in range(LEVELS):
-        inside = rows if k == 0 else rows.join(left, same(rows, left) & _prefix(rows, left, k), "left_semi")
+        inside = rows if k == 0 else rows.join(left, rows["source"].eqNullSafe(left["source"]) & _prefix(rows, left, k), "left_semi")
         sums = inside.groupBy("source", f"h{k}").agg(F.sum("size").alias("n"))
         upto = Window.partitionBy("source").orderBy(f"h{k}")
         running = sums.join(left.select(F.col("source").alias("of"), "left"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of").withColumn("upto", F.sum("n").over(upto))
@@ -76,15 +69,48 @@ def mix(docs: DataFrame, work: Work, weights: tuple[float, ...] = (5, 2, 1), sha
             .select("source", *prior, F.col(f"e.h{k}").alias(f"h{k}"), (F.col("left") - F.col("e.before")).alias("left"), F.col("e.n").alias("n")), f"edge{k}",
         )
     # The source's threshold as one number; a source without a boundary takes everything.
-    cut = left.select(F.col("source").alias("of"), _number("h").alias("cut"), (F.col("n") - F.col("left") < F.col("left")).alias("with_cut"))
-    plan = plan.join(cut, F.col("source").eqNullSafe(F.col("of")), "left").drop("of").withColumnRenamed("source", "of")
+    edge = left.select(F.col("source").alias("of"), _number("h").alias("cut"), (F.col("n") - F.col("left") < F.col("left")).alias("with_cut"))
+    return work.table(plan.join(edge, F.col("source").eqNullSafe(F.col("of")), "left").drop("of").withColumnRenamed("source", "of"), "thresholds")
+
+
+def decided(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Joins the few rows of ``plan`` by source and adds ``copies``."""
     more = F.col("cut").isNull() | (_number("h") < F.col("cut")) | ((_number("h") == F.col("cut")) & F.col("with_cut"))
     copies = F.col("base") + F.when((F.col("budget") > 0) & more, 1).otherwise(0)
-    return (
-        rows.join(plan, F.col("source").eqNullSafe(F.col("of")))
-        .withColumn("copies", copies.cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
-    )
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).withColumn("copies", copies.cast("long"))
+
+
+def sized(docs: DataFrame, work: Work, text: str = "text", key: str = "doc_id") -> DataFrame:
+    rows = docs.select(F.col(key).alias("doc_id"), "source", n_words(F.col(text)).alias("size"))
+    return work.table(hashed(rows), "sizes")
+
+
+def mix(docs: DataFrame, work: Work, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """How many words of every document the mix takes.
+
+    Returns doc_id, source, size, source_size, target, copies, taken.  A source
+    with target t and size s gives floor(t / s) copies of each document and one
+    more of those whose hash lies below the source's threshold.  The threshold
+    comes from nested histograms: words summed by source and leading hash
+    digits, then the boundary bucket alone by the next digits, LEVELS times;
+    the last boundary bucket is taken if that comes nearer the budget.  No
+    document is sorted, and lower targets take subsets of higher ones.
+
+    A null or empty text has size 0 and takes nothing; a null source is a
+    source of its own; repeated rows of one doc_id share their fate; an empty
+    table gives an empty result; other columns are ignored.
+    """
+    rows = sized(docs, work, text, key)
+    out = decided(rows, thresholds(rows, work, weights, share, most))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed(docs: DataFrame, work: Work, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as ``mix`` takes it, with its columns.  No text is shuffled."""
+    plan = thresholds(sized(docs, work), work, weights, share, most).select("of", "base", "budget", "cut", "with_cut")
+    own = docs.select(F.struct(*docs.columns).alias("row"), "source", "doc_id")
+    taken = decided(hashed(own), plan).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth"))
+    return taken.select("row.*")
 
 
 def _number(prefix: str) -> Column:
