@@ -10,7 +10,10 @@ from .license_texts import EQUIVALENT, KNOWN
 #: A line of copyright or rights reservation, on lower-case text, with its line break.
 COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 #: ASCII other than lower-case letters and digits, and common typographic marks.
-PUNCTUATION = r"[\x00-\x2f\x3a-\x60\x7b-\x7f\x{a0}\x{ab}\x{bb}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{3000}]+"
+_MARKS = r"\x00-\x2f\x3a-\x60\x7b-\x7f\x{a0}\x{ab}\x{bb}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{3000}"
+PUNCTUATION = f"[{_MARKS}]+"
+#: Known texts up to this number are broadcast; more are joined by shuffle.
+BROADCAST_TEXTS = 50_000
 
 
 def canonical(text: Column) -> Column:
@@ -30,6 +33,17 @@ def known_licenses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(KNOWN, "license_id string, text string")
 
 
+def first_word(text: Column) -> Column:
+    return F.regexp_extract(F.lower(text), f"[^{_MARKS}]+", 0)
+
+
+def opening_words(table: DataFrame) -> DataFrame:
+    """Every raw word that a text of ``table`` may open with, equivalent spellings included."""
+    heads = table.select(F.substring_index("canonical", " ", 1).alias("head")).distinct()
+    pairs = table.sparkSession.createDataFrame([(a.split()[0], b.split()[0]) for a, b in EQUIVALENT], "other string, head string")
+    return heads.union(heads.join(pairs, "head").select("other")).distinct()
+
+
 def scan(docs: DataFrame, known: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Looks up whole texts, and every line as a text of its own, among known licences.
 
@@ -41,16 +55,20 @@ def scan(docs: DataFrame, known: DataFrame, text: str = "text", key: str = "doc_
     A text without a word has the digest of the empty string, which matches no
     licence, and so do null texts; a null key keeps its whole-text answer but
     has no notices; repeated rows each get an answer; an empty table gives an
-    empty result; other columns are ignored.  No text is shuffled: lines are
-    digested where they are read and joined with the small side, then only
-    hits travel.
+    empty result; other columns are ignored.  No text is shuffled: a line is
+    digested where it is read, if it opens with a word that some known text
+    opens with (no other line can be equal to one), and only hits travel.
     """
     empty = F.sha2(F.lit(""), 256)
-    table = known.select("license_id", digest(F.col("text")).alias("digest")).where(F.col("digest") != empty).groupBy("digest").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("license"))
+    small = F.broadcast if known.count() <= BROADCAST_TEXTS else lambda df: df
+    texts = known.select("license_id", canonical(F.col("text")).alias("canonical")).where(F.col("canonical") != "")
+    table = texts.select("license_id", F.sha2("canonical", 256).alias("digest")).groupBy("digest").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("license"))
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    lines = rows.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).select("doc_id", digest(F.col("line")).alias("digest"))
-    hits = lines.join(table, "digest").groupBy(F.col("doc_id").alias("of")).agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
-    whole = rows.select("doc_id", digest(F.col("text")).alias("digest")).join(table, "digest", "left")
+    lines = rows.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
+    likely = lines.withColumn("head", first_word(F.col("line"))).join(small(opening_words(texts)), "head", "left_semi")
+    found = likely.select("doc_id", digest(F.col("line")).alias("digest")).where(F.col("digest") != empty).join(small(table), "digest")
+    hits = found.groupBy(F.col("doc_id").alias("of")).agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
+    whole = rows.select("doc_id", digest(F.col("text")).alias("digest")).join(small(table), "digest", "left")
     return whole.join(hits, F.col("doc_id") == F.col("of"), "left").select("doc_id", "digest", "license", "notices")
 
 
