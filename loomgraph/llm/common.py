@@ -27,6 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bounds what a Python worker holds at once: whole texts travel in batches of ``rows``."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 class Work:
     """Tables written to the shared folder, which cut lineage and survive lost executors."""
 
@@ -59,11 +64,17 @@ def n_words(text: Column) -> Column:
 def components(work: Work, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node of ``edges`` (a, b): (node, label).
 
-    Minimum labels travel along edges and then jump through their own label,
-    so a path of n nodes needs about log n rounds.  Labels stay distributed;
-    the driver only sees the number of labels that changed.
+    First every node's links are bent to its least neighbour, which leaves
+    about one link for each node and keeps what is connected.  Then minimum
+    labels travel along links and jump through their own label, so a path of n
+    nodes needs about log n rounds.  Labels stay distributed; the driver only
+    learns whether any changed.
     """
-    both = work.table(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(edges.select("b", "a")).distinct(), "links")
+    least = edges.groupBy("b").agg(F.min("a").alias("m"))
+    bent = edges.join(least, "b").select(F.explode(F.array(F.struct("m", F.col("b").alias("x")), F.struct("m", F.col("a").alias("x")))).alias("e")).select("e.*").where("m <> x").distinct()
+    bent = work.table(bent, "bent")
+    both = work.table(bent.select(F.col("m").alias("src"), F.col("x").alias("dst")).union(bent.select("x", "m")).distinct(), "links")
+    work.drop(bent)
     labels = work.table(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("label")), "labels")
     for _ in range(most_rounds):
         seen = both.join(labels.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("seen"))

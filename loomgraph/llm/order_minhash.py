@@ -139,7 +139,8 @@ def verified(pairs: DataFrame, docs: DataFrame, work: Work, least: float = LEAST
     groups = max(32, pairs.count() // PARTNERS)
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(groups)).cast("int").alias("grp"))
     needed = dealt.select(F.col("b").alias("id"), "a", "grp").union(dealt.select(F.col("a").alias("id"), "a", "grp").distinct())
-    rows = needed.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").select("a", "grp", "id", "text")
+    # Neither side has a size bound, so both are shuffled at every size; AQE splits skewed parts.
+    rows = needed.hint("merge").join(docs.select(F.col("doc_id").alias("id"), "text"), "id").select("a", "grp", "id", "text")
     rows = rows.repartition("a", "grp").sortWithinPartitions("a", "grp", "id")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
