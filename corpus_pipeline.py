@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import langid, line_runs, mixing, order_minhash, packing
-from loomgraph.llm.common import Work, n_words
+from loomgraph.llm.common import Work, n_words, small_batches
 from loomgraph.llm.queries import MIN_LINES, tokenizer
 
 #: Least posterior of a language that is kept.
@@ -15,22 +15,25 @@ LEAST_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier tells; the others (no text, no letter, no clear label) go."""
-    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
-    told = langid.identify(docs, model).where((F.col("loom_lang.lang") != langid.UNKNOWN) & (F.col("loom_lang.score") >= LEAST_SCORE))
-    return told.select(*docs.columns)
+    small_batches(spark)
+    model = langid.fit(docs.where(~F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False))))
+    told = langid.identify(docs, model)
+    return told.where((F.col("told.lang") != langid.UNKNOWN) & (F.col("told.score") >= LEAST_SCORE)).select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated line runs; those that lose all their words go."""
-    out = line_runs.line_dedup(docs, Work(spark, "lines"), MIN_LINES)
-    out = out.where((F.col("loom_removed") == 0) | (n_words(F.col("text")) > 0))
+    out = line_runs.line_dedup(docs, Work(spark, "lines"), MIN_LINES).where((F.col("n_removed") == 0) | (n_words(F.col("kept")) > 0))
+    row = F.col("row").withField("text", F.col("kept"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("loom_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        size = F.length("kept").cast(docs.schema["n_chars"].dataType)
+        row = row.withField("n_chars", F.when(F.col("n_removed") > 0, size).otherwise(F.col("row.n_chars")))
+    return out.select(row.alias("row")).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each class; a null id is its own class."""
+    small_batches(spark)
     work = Work(spark, "near")
     classes = order_minhash.near_duplicates(docs, work)
     gone = work.table(classes.where("class_id <> doc_id").select("doc_id").distinct(), "gone")
@@ -45,6 +48,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in training sequences."""
+    small_batches(spark)
     return packing.pack_documents(docs, Work(spark, "pack"), tokenizer())
 
 

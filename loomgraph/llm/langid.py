@@ -102,9 +102,11 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds loom_lang (lang, score): the label of the highest posterior, and that posterior.
+    """(row, told): each row of ``docs`` as a struct, and struct(lang, score): the label of the highest posterior, and that posterior.
 
-    Only the text is looked at, all of it.  ``und`` with score 0 stands for a
+    Only the text is looked at, all of it; the struct keeps other columns out
+    of the way, whatever their names.  Every row is answered, repeated ones
+    alike, and an empty table gives an empty result.  ``und`` with score 0 stands for a
     null text, a text without a letter, or a model without labels.  Ties go to
     the first label by code point.  The matrix travels as a broadcast variable;
     its size is fixed by BITS and the number of labels.
@@ -117,4 +119,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([own.predict(x) for x in batch], columns=["lang", "score"])
 
-    return docs.withColumn("loom_lang", predict(F.col(text)))
+    return docs.select(F.struct(*docs.columns).alias("row"), predict(F.col(text)).alias("told"))

@@ -102,27 +102,26 @@ def line_dedup(docs: DataFrame, work: Work, min_lines: int = 2, text: str = "tex
     """Deletes every line of a run of ``min_lines`` or more lines that begins earlier.
 
     Earlier means in a smaller doc_id, or further up in the same document; all
-    decisions are made on the input.  Returns the columns of ``docs`` with the
-    lines left in ``text`` and with loom_lines, loom_removed and loom_runs
-    (runs as structs of start, stop, first_doc, first_pos).
+    decisions are made on the input.  Returns for each row of ``docs``: row (a
+    struct of all its columns), kept (the text that is left), n_lines,
+    n_removed and runs (structs of start, stop, first_doc, first_pos).  The
+    struct keeps columns of ``docs`` apart from the others, whatever their
+    names.
 
     A null text has one empty line and stays null unless lines go; a null key
     is kept as it is; repeated rows of one doc_id are one document at the same
     positions, so they are treated alike; an empty table gives an empty result.
     """
-    runs = repeated_runs(docs, work, min_lines, text, key)
-    by_doc = runs.groupBy(F.col("doc_id").alias("loom_of")).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "first_doc", "first_pos"))).alias("loom_runs"))
+    found = repeated_runs(docs, work, min_lines, text, key)
+    by_doc = found.groupBy(F.col("doc_id").alias("of")).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "first_doc", "first_pos"))).alias("runs"))
     by_doc = work.table(by_doc, "runs")
-    joined = docs.join(by_doc.hint("shuffle_hash"), F.col(key) == F.col("loom_of"), "left").drop("loom_of")
-    lines = lines_of(F.col(text))
-    left = F.filter(lines, lambda x, i: ~F.exists("loom_runs", lambda run: (i >= run["start"]) & (i < run["stop"])))
-    some = F.col("loom_runs").isNotNull()
-    joined = joined.withColumn("loom_lines", F.size(lines)).withColumn("loom_left", F.when(some, left))
-    return (
-        joined.withColumn(text, F.when(some & (F.size("loom_left") < F.col("loom_lines")), F.array_join("loom_left", "\n")).otherwise(F.col(text)))
-        .withColumn("loom_removed", F.when(some, F.col("loom_lines") - F.size("loom_left")).otherwise(0))
-        .drop("loom_left")
-    )
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("id"), F.col(text).alias("whole"))
+    rows = rows.join(by_doc.hint("shuffle_hash"), F.col("id") == F.col("of"), "left").withColumn("lines", lines_of(F.col("whole")))
+    left = F.filter("lines", lambda x, i: ~F.exists("runs", lambda run: (i >= run["start"]) & (i < run["stop"])))
+    rows = rows.withColumn("left", F.when(F.col("runs").isNotNull(), left))
+    removed = F.coalesce(F.size("lines") - F.when(F.col("left").isNotNull(), F.size("left")), F.lit(0))
+    kept = F.when(removed > 0, F.array_join("left", "\n")).otherwise(F.col("whole"))
+    return rows.select("row", kept.alias("kept"), F.size("lines").cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), "runs")
 
 
 def sql(min_lines: int) -> str:

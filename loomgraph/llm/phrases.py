@@ -17,6 +17,8 @@ from .wordhash import WORD_BASES, U, buffers, run_hashes, slices, sliding_min, w
 #: Words of a window that counts as a repeat, and of the phrases that automata look for.
 WINDOW, PHRASE = 50, 20
 _SPAN = WINDOW - PHRASE + 1
+#: Bytes of the documents that share an automaton.
+SHARD = 2 << 20
 #: Bits of a text's digest that tell texts of one id apart.
 TAG = 0x7FFFFFFF
 
@@ -99,7 +101,7 @@ def located(texts: DataFrame) -> DataFrame:
     """Hashes of all windows that hold a confirmed phrase: (h1, h2, doc_id, place).
 
     ``texts`` is (doc_id, tag, text, anchors) with the recurring anchors of each
-    document.  A shard is a slice of documents (about 4 MB); its automaton has
+    document.  A shard is a slice of documents (about SHARD bytes); its automaton has
     the confirmed phrases that its documents name, each document is streamed
     through it, and every occurrence marks the windows around.  ``place`` is
     the word that a window starts at, with ``tag`` in the upper half.
@@ -109,7 +111,7 @@ def located(texts: DataFrame) -> DataFrame:
         for batch in batches:
             data, at = buffers(batch["text"])
             named = batch["anchors"]
-            for a, b in slices(at):
+            for a, b in slices(at, SHARD):
                 words = words_of(data, at[a : b + 1])
                 confirmed = np.unique(named.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).view(U))
                 hashes, room = run_hashes(words.codes, PHRASE, WORD_BASES[1]), words.room()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import audio, idcoder, langid, licenses, line_runs, mixing, order_minhash, packing, permutation_ann, phrases
-from .common import Work
+from .common import Work, small_batches
 
 #: Lines of the shortest repeated run that is deleted.
 MIN_LINES = 2
@@ -20,6 +20,7 @@ def tokenizer() -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -45,8 +46,7 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_runs.line_dedup(table(spark, sf_dir, "documents"), Work(spark, "lines"), MIN_LINES)
-    kept = F.sha2(F.coalesce("text", F.lit("")), 256)
-    return out.select("doc_id", F.col("loom_lines").cast("long").alias("n_lines"), F.col("loom_removed").cast("long").alias("n_removed"), kept.alias("kept_sha256"))
+    return out.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +59,11 @@ def op8_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out(F.col("doc_id")).alias("held_out"))
-    model = langid.fit(docs.where(~F.col("held_out")))
-    return langid.identify(docs, model).select("doc_id", "held_out", F.col("loom_lang.lang").alias("lang_pred"), F.col("loom_lang.score").alias("score"))
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.held_out(F.col("doc_id"))
+    model = langid.fit(docs.where(~F.coalesce(held_out, F.lit(False))))
+    told = langid.identify(docs, model)
+    return told.select("row.doc_id", langid.held_out(F.col("row.doc_id")).alias("held_out"), F.col("told.lang").alias("lang_pred"), F.col("told.score").alias("score"))
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from .wordhash import U, buffers, slices, words_of
 
 #: Words kept by a worker (about 40 bytes each); a full cache starts anew.
 CACHE_WORDS = 4_000_000
+#: New words are merged into the large sorted table this many at a time.
+RECENT_WORDS = 65_536
 #: Words that one call of the library encodes as a single text.
 JOINED = 512
 
@@ -57,9 +60,32 @@ class WordEncoder:
         self.whole = self.encode([self.PROBE])[0].tolist() != self.tokenizer.encode(self.PROBE, add_special_tokens=False).ids
 
     def _clear(self) -> None:
-        self.codes, self.at, self.n = np.empty(0, dtype=U), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        self.ids: list[np.ndarray] = []
-        self.flat = np.empty(0, dtype=np.uint32)
+        none = np.empty(0, dtype=np.int64)
+        # Two sorted tables (codes, where a word's ids start, how many there are), a large and a recent one.
+        self.tables = [(np.empty(0, dtype=U), none, none), (np.empty(0, dtype=U), none, none)]
+        self.flat, self.used = np.empty(1 << 16, dtype=np.uint32), 0
+
+    def _store(self, ids: np.ndarray) -> int:
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.empty(max(len(self.flat), 2 * len(ids)), dtype=np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids)
+
+    def _merge(self, to: int, codes: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        have = self.tables[to]
+        put = np.searchsorted(have[0], codes)
+        self.tables[to] = tuple(np.insert(old, put, new) for old, new in zip(have, (codes, at, n), strict=True))
+
+    def _find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of words start (-1: unknown) and how many they have."""
+        at, n = np.full(len(codes), -1), np.zeros(len(codes), dtype=np.int64)
+        for known, starts, counts in self.tables:
+            if len(known):
+                i = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+                hit = known[i] == codes
+                at[hit], n[hit] = starts[i[hit]], counts[i[hit]]
+        return at, n
 
     def _library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after another, and how many each has."""
@@ -93,35 +119,31 @@ class WordEncoder:
         point[1:] &= _LETTER[body[:-1]]
         point[0] = False
         words = words_of(body, edges, point)
-        unique, where, each = np.unique(words.codes, return_index=True, return_inverse=True)
-        if len(self.codes) + len(unique) > CACHE_WORDS:
+        each, unique = pd.factorize(words.codes)  # by hashing; sorting all words would cost more than all else here
+        if len(self.tables[0][0]) + len(unique) > CACHE_WORDS:
             self._clear()
-        found = np.searchsorted(self.codes, unique)
-        known = np.zeros(len(unique), dtype=bool)
-        if len(self.codes):
-            known = self.codes[np.minimum(found, len(self.codes) - 1)] == unique
-        fresh = np.flatnonzero(~known)
+        at, n = self._find(unique)
+        fresh = np.flatnonzero(at < 0)
         if len(fresh):
             text = body.tobytes()
+            where = np.empty(len(unique), dtype=np.int64)
+            where[each[::-1]] = np.arange(len(each) - 1, -1, -1)  # the first word of each kind is written last
             first = where[fresh]
             new = [text[a:b].decode() for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)]
             # Words of letters only go first, so that they are encoded together.
-            order = np.argsort(np.fromiter((not w.isalpha() for w in new), dtype=bool, count=len(new)), kind="stable")
-            n_letters = sum(map(str.isalpha, new))
-            a, na = self._learn([new[i] for i in order[:n_letters]])
-            b, nb = self._learn([new[i] for i in order[n_letters:]])
-            ids, n = np.concatenate([a, b]), np.concatenate([na, nb])
-            start = len(self.flat) + np.cumsum(n) - n
-            self.flat = np.concatenate([self.flat, ids])
-            put = found[fresh[order]]
-            by = np.argsort(unique[fresh[order]], kind="stable")
-            self.codes = np.insert(self.codes, put[by], unique[fresh[order]][by])
-            self.at, self.n = np.insert(self.at, put[by], start[by]), np.insert(self.n, put[by], n[by])
-            found = np.searchsorted(self.codes, unique)
-        n = self.n[found][each]
-        out = self.flat[spans(n, self.at[found][each])]
-        total = np.concatenate([[0], np.cumsum(n)])
-        return out, total[words.first]
+            plain = np.fromiter(map(str.isalpha, new), dtype=bool, count=len(new))
+            order = np.argsort(~plain, kind="stable")
+            parts = [self._learn([new[i] for i in some]) for some in (order[: plain.sum()], order[plain.sum() :])]
+            ids, count = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            start = self._store(ids) + np.cumsum(count) - count
+            at[fresh[order]], n[fresh[order]] = start, count
+            by = fresh[np.argsort(unique[fresh])]
+            self._merge(1, unique[by], at[by], n[by])
+            if len(self.tables[1][0]) > RECENT_WORDS:
+                self._merge(0, *self.tables[1])
+                self.tables[1] = tuple(x[:0] for x in self.tables[1])
+        total = np.concatenate([[0], np.cumsum(n[each])])
+        return self.flat[spans(n[each], at[each])], total[words.first]
 
     def encode_column(self, column: pa.Array, end: int | None = None):
         """For slices of a text column (null: empty): (first row, ids, offsets of each row's ids).

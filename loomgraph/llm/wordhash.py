@@ -54,7 +54,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         n = 1 << (n - 1).bit_length()
         up = _grow(base, up, n)
         down = _grow(pow(base, -1, 1 << 64), down, n)
-        if n <= 1 << 24:
+        if n <= 1 << 22:
             _POWERS[base] = up, down
     return up, down
 
@@ -137,7 +137,7 @@ def words_of(data: np.ndarray, at: np.ndarray, cut: np.ndarray | None = None) ->
     return Words(codes, start, end, np.searchsorted(start, edges), body)
 
 
-def slices(at: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(at: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of documents of about ``limit`` bytes; one document is never cut."""
     first, n = 0, len(at) - 1
     while first < n:
