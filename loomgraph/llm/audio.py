@@ -19,8 +19,8 @@ RATE, UP, DOWN, TAPS = 16_000, 5, 8, 16
 FRAME, HOP, MELS = 256, 128, 24
 #: Frames of one tensor; the last one is padded with silence.
 WINDOW = 64
-#: Decibels above and below a recording's median energy that open and hold a segment.
-OPEN_DB, HOLD_DB = 0.5, -0.25
+#: Decibels above a recording's median energy that open and hold a segment.
+OPEN_DB, HOLD_DB = 0.5, 0.2
 BLOCK = 64
 #: Frames computed at once; a multiple of UP keeps pieces aligned with whole input samples.
 PIECE = 8000
