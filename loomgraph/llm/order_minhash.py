@@ -16,11 +16,11 @@ from .wordhash import WORD_BASES, U, Words, buffers, mix, powers, run_hashes, sl
 #: Words of a k-mer, least similarity of a link, k-mers kept by a sketch.
 SHINGLE, LEAST, KEPT = 5, 0.8, 2
 #: Bands of a document, and the sketches that must agree in one.
-BANDS, PER_BAND = 20, 2
+BANDS, PER_BAND = 40, 1
 #: Buckets up to this size are compared pair by pair; larger ones through hubs.
 SMALL = 8
 #: Hubs of a larger bucket.
-HUBS = 4
+HUBS = 3
 #: Partners of a hub that one task aligns, on average at most.
 PARTNERS = 2000
 
