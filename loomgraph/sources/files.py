@@ -27,7 +27,7 @@ def page_range(locator: str) -> tuple[int, int]:
 def text_bodies(spark: SparkSession, sections: DataFrame, root: str) -> DataFrame:
     """(book, sec_id, body) of sections whose locator is path:FILE below ``root``; files are read whole by Spark."""
     wanted = sections.where(F.col("url").startswith("path:")).select("book", "sec_id", F.concat(F.lit(f"{root.rstrip('/')}/"), F.substring("url", 6, 1 << 20)).alias("path"))
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select(F.col("_metadata.file_path").alias("file"), "value")
+    files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return files.join(wanted, F.endswith(F.url_decode("file"), F.regexp_replace("path", "^file:", ""))).select("book", "sec_id", strip(F.col("value")).alias("body"))
 
 
