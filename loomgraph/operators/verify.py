@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import rules as R
+from ..functions import text as X
 from ..functions.text import name_in_text
 from . import graph, mining
 from .docs import toc_vote
@@ -189,3 +190,25 @@ def review_prompts(queue: DataFrame, nodes: DataFrame, edges: DataFrame) -> Data
     near = sides.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("other")), "、").alias("near"))
     n = nodes.join(near, "id", "left").select(F.lit("node").alias("item_type"), F.col("id").alias("item_id"), F.col("name").alias("subject"), F.concat_ws("\n", F.coalesce("definition", F.lit("")), F.coalesce("near", F.lit("无"))).alias("context"))
     return queue.join(n.union(e), ["item_type", "item_id"])
+
+
+def source_excerpts(items: DataFrame, pages: DataFrame, sections: DataFrame, around: int = 500) -> DataFrame:
+    """Adds ``excerpt`` and ``drifted`` to items (source, evidence): the text around the evidence in what the source names.
+
+    ``drifted`` tells that a section has changed since; a source without a
+    stored text has a null excerpt.
+    """
+    rows = items.withColumns({"_page": X.parse_page_source(F.col("source")), "_sec": X.parse_section_source(F.col("source"))})
+    texts = pages.select(F.col("lang").alias("_l"), F.lower("title").alias("_t"), F.col("text").alias("_page_text"))
+    rows = rows.join(texts, (F.col("_page.lang") == F.col("_l")) & (F.lower("_page.title") == F.col("_t")), "left")
+    bodies = sections.where("coalesce(text, '') <> ''").select(F.col("book").alias("_b"), F.col("sec_id").alias("_s"), F.col("content_hash").alias("_h"), F.col("text").alias("_sec_text"))
+    rows = rows.join(bodies, (F.col("_sec.book") == F.col("_b")) & (F.col("_sec.sec_id") == F.col("_s")), "left")
+    found = X.excerpt(F.coalesce("_page_text", "_sec_text"), F.col("evidence"), around)
+    drifted = F.col("_sec_text").isNotNull() & ~F.col("_h").eqNullSafe(F.col("_sec.hash"))
+    return rows.select(*items.columns, found.alias("excerpt"), drifted.alias("drifted"))
+
+
+def page_heads(nodes: DataFrame, pages: DataFrame, mapped: DataFrame, chars: int = 400) -> DataFrame:
+    """(node_id, head): the beginning of each node's page, for items without a quotation."""
+    heads = mapped.join(pages, ["lang", "page_id"]).select("node_id", F.substring("text", 1, chars).alias("head"))
+    return nodes.select(F.col("id").alias("node_id")).join(heads, "node_id", "left").select("node_id", F.coalesce("head", F.lit("（无语料页）")).alias("head"))

@@ -172,3 +172,13 @@ def test_picked_blocks(spark):
     rows = spark.createDataFrame([("p", text, ["key"])], "source string, text string, names array<string>")
     out = ingest.picked_blocks(rows, F.col("names"))
     assert [r["pos"] for r in out.orderBy("pos").collect()] == [0, 2, 5] and {r["n_blocks"] for r in out.collect()} == {3}
+
+
+def test_source_excerpts(spark):
+    pages = corpus(spark, [(1, "en", "Alpha", "x" * 30 + "the evidence" + "y" * 30, [], [], [])])
+    sections = spark.createDataFrame([(1, "b", 1, "2", "t", "u", "zh", "o", "whole section", "0123abcd0000", 1.0, None)], S.DOC_SECTIONS)
+    items = spark.createDataFrame([("wiki:en:alpha@7", "the evidence"), ("doc:b:2@0123abcd0000", "none"), ("doc:b:2@ffffffffffff", "section"), ("mine:category:en", "x")], "source string, evidence string")
+    got = {r["source"]: (r["excerpt"], r["drifted"]) for r in verify.source_excerpts(items, pages, sections, 5).collect()}
+    assert got == {"wiki:en:alpha@7": ("xxxxxthe evidenceyyyyy", False), "doc:b:2@0123abcd0000": ("whole sect", False), "doc:b:2@ffffffffffff": ("hole section", True), "mine:category:en": (None, False)}
+    nodes = make_nodes(spark, [(1, "alpha", [], [], "seed"), (2, "none", [], [], "seed")])
+    assert pairs(verify.page_heads(nodes, pages, names.page_for_node(nodes, names.title_index(pages)), 3), "node_id", "head") == {(1, "xxx"), (2, "（无语料页）")}
