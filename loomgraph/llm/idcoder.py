@@ -38,15 +38,22 @@ U64, U32 = np.uint64, np.uint32
 _WORD, _LOW = U64(32), U64(0xFFFFFFFF)
 
 
-def order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Ids seen and their frequencies, at least 1 each, summing to 2**bits."""
-    seen, n = np.unique(ids, return_counts=True)
+def order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    """Ids seen, their frequencies (at least 1 each, summing to 2**bits), bits, and the place of every id among those seen."""
+    if ids.max() < 1 << 22:  # counting is much cheaper than sorting
+        n = np.bincount(ids)
+        seen = np.flatnonzero(n)
+        place = np.zeros(len(n), dtype=np.int32)
+        place[seen] = np.arange(len(seen))
+        n, which = n[seen], place[ids]
+    else:
+        seen, which, n = np.unique(ids, return_inverse=True, return_counts=True)
     bits = max(16, int(len(seen) * 2 - 1).bit_length())
     if bits > 20:
         raise ValueError("too many distinct ids in a segment")
     scaled = 1 + (n * ((1 << bits) - len(seen)) // n.sum())
     scaled[scaled.argmax()] += (1 << bits) - scaled.sum()
-    return seen.astype(U32), scaled.astype(U32), bits
+    return seen.astype(U32), scaled.astype(U32), bits, which
 
 
 class Model:
@@ -69,19 +76,19 @@ class Model:
         h1 = self.prev1 * U32(0x9E3779B1)
         h2 = (h1 ^ (self.prev2 * U32(0x85EBCA77))) * U32(0xC2B2AE3D)
         self.at1, self.at2 = self.base1 + (h1 >> U32(32 - SLOTS1)), self.base2 + (h2 >> U32(32 - SLOTS2))
-        self.e1, self.e2 = self.t1[self.at1], self.t2[self.at2]
+        self.e1, self.e2 = self.t1.take(self.at1, mode="clip"), self.t2.take(self.at2, mode="clip")
         self.p1, self.p2 = self.e1 >> U32(2), self.e2 >> U32(2)
         self.k1, self.k2 = self.e1 & U32(3), self.e2 & U32(3)
         same = self.p1 == self.p2
         self.ctx = self.base + (((self.k2 << U32(2)) | self.k1) << U32(1) | same)
-        self.q2, self.q1 = self.right2[self.ctx], self.right1[self.ctx]
+        self.q2, self.q1 = self.right2.take(self.ctx, mode="clip"), self.right1.take(self.ctx, mode="clip")
         w2 = 1 + ((self.q2 * ((1 << MIX) - 4)) >> 16)
         w1 = (1 + (((1 << MIX) - 2 - w2) * self.q1 >> 16)) * ~same
         return w2, w1
 
     def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
         self.right2[self.ctx] = self.q2 + ((hit2 * np.int32(0xFFFF) - self.q2) >> RATE)
-        self.right1[self.ctx] = np.where(hit2, self.q1, self.q1 + ((hit1 * np.int32(0xFFFF) - self.q1) >> RATE))
+        self.right1[self.ctx] = self.q1 + (((hit1 * np.int32(0xFFFF) - self.q1) >> RATE) * ~hit2)
         new = ids << U32(2)
         for t, at, e, k, hit in ((self.t1, self.at1, self.e1, self.k1, hit1), (self.t2, self.at2, self.e2, self.k2, hit2)):
             t[at] = np.where(hit, e + (k < U32(3)), np.where(k == 0, new, e - U32(1)))
@@ -105,8 +112,8 @@ def encode_blocks(blocks: np.ndarray, rank: np.ndarray, freq: np.ndarray, bits:
         both = w2 + w1
         w0 = U64(1 << MIX) - both
         w2 <<= one
-        at = np.where(hit2, U64(0), np.where(hit1, w2, (both << one) + w0 * start0[which]))
-        size = np.where(hit2, w2, np.where(hit1, w1 << one, w0 * freq[which]))
+        at = np.where(hit2, U64(0), np.where(hit1, w2, (both << one) + w0 * start0.take(which, mode="clip")))
+        size = np.where(hit2, w2, np.where(hit1, w1 << one, w0 * freq.take(which, mode="clip")))
         unit = span >> shift
         low += unit * at
         span = unit * size
@@ -148,10 +155,10 @@ def decode_blocks(words: np.ndarray, first: np.ndarray, steps: int, seen: np.nda
         value = np.minimum((code - low) // unit, top)
         hit2, hit1 = value < w2, value < both
         # Exact in double precision: both numbers are far below 2**53.
-        which = owner[((value - np.minimum(both, value)).astype(np.float64) / w0).astype(np.int64)]
-        ids = np.where(hit2, model.p2, np.where(hit1, model.p1, seen[which]))
-        at = np.where(hit2, U64(0), np.where(hit1, w2, both + w0 * start0[which]))
-        size = np.where(hit2, w2, np.where(hit1, w1, w0 * freq[which]))
+        which = owner.take(((value - np.minimum(both, value)).astype(np.float64) / w0).astype(np.int64), mode="clip")
+        ids = np.where(hit2, model.p2, np.where(hit1, model.p1, seen.take(which, mode="clip")))
+        at = np.where(hit2, U64(0), np.where(hit1, w2, both + w0 * start0.take(which, mode="clip")))
+        size = np.where(hit2, w2, np.where(hit1, w1, w0 * freq.take(which, mode="clip")))
         low += unit * at
         span = unit * size
         need = np.flatnonzero(span <= _LOW)
@@ -159,7 +166,7 @@ def decode_blocks(words: np.ndarray, first: np.ndarray, steps: int, seen: np.nda
             lo, sp = low[need], span[need]
             cross = (lo ^ (lo + sp)) >> _WORD != 0
             sp = np.where(cross, (U64(0) - lo) & _LOW, sp)
-            code[need] = (code[need] << _WORD) | words[at_word[need]]
+            code[need] = (code[need] << _WORD) | words.take(at_word[need], mode="clip")
             at_word[need] += 1
             low[need], span[need] = lo << _WORD, sp << _WORD
         model.update(ids, ids == model.p2, ids == model.p1)
@@ -179,9 +186,9 @@ def encode_segment(keys: np.ndarray, n_tokens: np.ndarray, ids: np.ndarray) -> b
     if not n_blocks:
         return head
     padded = np.append(ids, np.full(n_blocks * BLOCK - len(ids), ids[-1], dtype=U32)).astype(U32)
-    seen, freq, bits = order0(padded)
-    blocks = np.ascontiguousarray(padded.reshape(n_blocks, BLOCK).T)
-    words, n_words = encode_blocks(blocks, np.searchsorted(seen, blocks), freq, bits)
+    seen, freq, bits, which = order0(padded)
+    sides = lambda x: np.ascontiguousarray(x.reshape(n_blocks, BLOCK).T)
+    words, n_words = encode_blocks(sides(padded), sides(which), freq, bits)
     plain = np.ascontiguousarray(ids, dtype="<u4").tobytes()
     crc = np.array([zlib.crc32(plain[4 * BLOCK * i : 4 * BLOCK * (i + 1)]) for i in range(n_blocks)], dtype="<u4")
     table = struct.pack("<I", bits) + _packed(np.diff(seen, prepend=U32(0)).astype("<u4")) + _packed(freq.astype("<u4"))
