@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import Work
 
-#: Slices in which ranks inside one group are counted, so that a group with a
-#: third of all lines is never ordered by a single task.
-SLICES = 1024
+#: Ranks inside one group are counted in at least 2**SLICE_BITS slices, of about
+#: SLICE_LINES lines at most, so that a group with a third of all lines is never
+#: ordered by a single task.
+SLICE_BITS, SLICE_LINES = 10, 100_000
 
 
 def lines_of(text: Column) -> Column:
@@ -20,8 +21,8 @@ def _ranked(classes: DataFrame, group: list[str], slice_by: Column, order: list[
     """Adds ``below``: suffixes of the same group in classes that come earlier.
 
     ``classes`` has a row per class with its size ``n``.  Sizes are summed by
-    slice first; a window then runs over the slices of a group (at most
-    SLICES + 1 rows) and another inside each slice.
+    slice first; a window then runs over the slices of a group and
+    another inside each slice.
     """
     sliced = classes.withColumn("slice", slice_by)
     totals = sliced.groupBy(*group, "slice").agg(F.sum("n").alias("in_slice"))
@@ -53,11 +54,12 @@ def repeated_starts(rows: DataFrame, work: Work, min_lines: int) -> DataFrame:
     least, depth = F.min(here).alias("first"), 1
     # Depth 1: ranks of line ids, ordered by hash, with offsets summed by leading hash bits.
     classes = work.table(rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), least).where("n > 1"), "class0")
-    top = F.shiftrightunsigned("h1", 54).cast("int")
+    n_lines = classes.agg(F.sum("n")).first()[0] or 0
+    bits = max(SLICE_BITS, (n_lines // SLICE_LINES).bit_length())
+    top = F.shiftrightunsigned("h1", 64 - bits)
     ranks = _ranked(classes.withColumn("all", F.lit(0)), ["all"], top, ["h1", "h2"]).select("h1", "h2", F.col("below").alias("r"), "first")
     current = rows.join(ranks, ["h1", "h2"]).select("doc_id", "pos", "r", "first")
-    n_lines = classes.agg(F.sum("n")).first()[0] or 0 if min_lines > 1 else 0
-    width = max(1, -(-n_lines // SLICES))
+    width = max(1, n_lines >> bits)
     while depth < min_lines:
         add = min(depth, min_lines - depth)
         in_doc = Window.partitionBy("doc_id").orderBy("pos")
@@ -70,7 +72,7 @@ def repeated_starts(rows: DataFrame, work: Work, min_lines: int) -> DataFrame:
             .select("doc_id", "pos", "r", F.col("next.r").alias("r2"), "m"), f"pairs{depth}",
         )
         classes = work.table(paired.groupBy("r", "r2").agg(F.sum("m").alias("n"), least).where("n > 1"), f"class{depth}")
-        ranks = _ranked(classes, ["r"], F.floor(F.col("r2") / width).cast("int"), ["r2"])
+        ranks = _ranked(classes, ["r"], F.floor(F.col("r2") / width), ["r2"])
         ranks = ranks.select("r", "r2", (F.col("r") + F.col("below")).alias("to"), "first")
         current = paired.join(ranks, ["r", "r2"]).select("doc_id", "pos", F.col("to").alias("r"), "first")
         depth += add

@@ -16,8 +16,8 @@ from .tokens import encoder
 
 #: Tokens of a sequence, and of the step to which lengths are rounded up in patterns.
 CAPACITY, STEP = 4096, 16
-#: Groups that ranks of one length class are counted in.
-GROUPS = 64
+#: Ranks of one length class are counted in at least so many groups, of about so many pieces at most.
+GROUPS, GROUP_PIECES = 64, 100_000
 #: Column generation ends when the bound shows no more than this share (or one sequence) to gain.
 GAP = 5e-4
 MOST_COLUMNS = 4000
@@ -182,7 +182,8 @@ def pack(parts: DataFrame, work: Work, capacity: int = CAPACITY, step: int = STE
     Empty tables give empty results; repeated rows are packed separately.
     """
     spark = parts.sparkSession
-    ranked = parts.withColumn("class", F.ceil(F.col("length") / step).cast("int")).withColumn("grp", F.pmod(F.xxhash64("doc_id", "start"), F.lit(GROUPS)).cast("int"))
+    groups = max(GROUPS, parts.count() // GROUP_PIECES)
+    ranked = parts.withColumn("class", F.ceil(F.col("length") / step).cast("int")).withColumn("grp", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).cast("int"))
     counts = work.table(ranked.groupBy("class", "grp").agg(F.count("*").alias("n")), "counts")
     histogram = counts.groupBy("class").agg(F.sum("n").alias("n")).collect()
     table = slots(plan([r["class"] for r in histogram], [r["n"] for r in histogram], capacity // step))
