@@ -9,20 +9,57 @@ import pyarrow as pa
 from .wordhash import U, buffers, slices, words_of
 
 #: Words kept by a worker (about 40 bytes each); a full cache starts anew.
-CACHE_WORDS = 4_000_000
-#: New words are merged into the large sorted table this many at a time.
-RECENT_WORDS = 65_536
+CACHE_WORDS = 2_000_000
 #: Words that one call of the library encodes as a single text.
 JOINED = 512
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_LETTER = np.zeros(256, dtype=bool)
-_LETTER[[*range(65, 91), *range(97, 123)]] = True
-_GAP = np.zeros(256, dtype=bool)
-_GAP[[0x20, *range(0x09, 0x0E)]] = True
-_POINT = np.zeros(256, dtype=bool)
-_POINT[[0x2C, 0x2E]] = True
+#: Classes of bytes: 1 white space, 2 ASCII letters, 4 comma and full stop.
+_CLASS = np.zeros(256, dtype=np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = 1
+_CLASS[[*range(65, 91), *range(97, 123)]] = 2
+_CLASS[[0x2C, 0x2E]] = 4
+
+
+class Index:
+    """An open-addressing hash table in arrays: from word codes to where ids start and how many they are."""
+
+    def __init__(self, slots: int = 1 << 16):
+        self.mask, self.used = slots - 1, 0
+        self.keys, self.at, self.n = np.zeros(slots, dtype=U), np.zeros(slots, dtype=np.int32), np.zeros(slots, dtype=np.int32)
+
+    def slots_of(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, or of the empty place where its search ends."""
+        slot = (keys & U(self.mask)).astype(np.int64)
+        todo = np.arange(len(keys))
+        while len(todo):
+            there = self.keys[slot[todo]]
+            todo = todo[(there != keys[todo]) & (there != 0)]
+            slot[todo] = (slot[todo] + 1) & self.mask
+        return slot
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where ids start (-1: unknown) and how many there are."""
+        slot = self.slots_of(keys)
+        return np.where(self.keys[slot] == keys, self.at[slot], -1).astype(np.int64), self.n[slot].astype(np.int64)
+
+    def add(self, keys: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        """Adds different keys that aren't there yet."""
+        self.used += len(keys)
+        if 2 * self.used > self.mask:
+            old = self.keys != 0
+            keys, at, n = (np.concatenate([have[old], new]) for have, new in ((self.keys, keys), (self.at, at), (self.n, n)))
+            slots = 1 << (4 * self.used).bit_length()
+            self.__init__(slots)
+            self.used = len(keys)
+        todo = np.arange(len(keys))
+        while len(todo):  # of keys that meet in an empty slot the last one stays
+            slot = self.slots_of(keys[todo])
+            self.keys[slot] = keys[todo]
+            mine = self.keys[slot] == keys[todo]
+            self.at[slot[mine]], self.n[slot[mine]] = at[todo[mine]], n[todo[mine]]
+            todo = todo[~mine]
 
 
 def spans(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -36,12 +73,10 @@ class WordEncoder:
 
     Texts are cut at ASCII white space, and before a comma or full stop that
     ends a word after an ASCII letter; words are found by 64-bit hash in a
-    sorted cache, and only new ones reach the library.  ASCII capitals are
+    hash table, and only new ones reach the library.  ASCII capitals are
     folded before.  This is exact for tokenizers that lower-case, drop white
     space and keep letters apart from punctuation; a probe text decides on
-    loading, and for others whole texts are encoded.  Where the vocabulary
-    marks the last piece of a word, new words are encoded many at a time and
-    the marks tell where each word's ids end.
+    loading, and for others whole texts are encoded.
     """
 
     PROBE = "Ab c, d.e\tf\n'S x́y, 42 Été. ΣΣ\x0b\x0cQ.. W\r\n <|endoftext|>, <|endoftext|> z q,\n\n ok."
@@ -60,9 +95,7 @@ class WordEncoder:
         self.whole = self.encode([self.PROBE])[0].tolist() != self.tokenizer.encode(self.PROBE, add_special_tokens=False).ids
 
     def _clear(self) -> None:
-        none = np.empty(0, dtype=np.int64)
-        # Two sorted tables (codes, where a word's ids start, how many there are), a large and a recent one.
-        self.tables = [(np.empty(0, dtype=U), none, none), (np.empty(0, dtype=U), none, none)]
+        self.index = Index()
         self.flat, self.used = np.empty(1 << 16, dtype=np.uint32), 0
 
     def _store(self, ids: np.ndarray) -> int:
@@ -72,41 +105,29 @@ class WordEncoder:
         self.used += len(ids)
         return self.used - len(ids)
 
-    def _merge(self, to: int, codes: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
-        have = self.tables[to]
-        put = np.searchsorted(have[0], codes)
-        self.tables[to] = tuple(np.insert(old, put, new) for old, new in zip(have, (codes, at, n), strict=True))
-
-    def _find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids of words start (-1: unknown) and how many they have."""
-        at, n = np.full(len(codes), -1), np.zeros(len(codes), dtype=np.int64)
-        for known, starts, counts in self.tables:
-            if len(known):
-                i = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-                hit = known[i] == codes
-                at[hit], n[hit] = starts[i[hit]], counts[i[hit]]
-        return at, n
-
     def _library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after another, and how many each has."""
         got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         return np.array([i for ids in got for i in ids], dtype=np.uint32), np.array([len(ids) for ids in got], dtype=np.int64)
 
-    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, n = [], []
+    def _direct(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For words of ASCII letters in lower case, which normalising and splitting leave as they are."""
+        split = self.tokenizer.model.tokenize
+        got = [[t.id for t in split(w)] for w in words]
+        return np.array([i for ids in got for i in ids], dtype=np.uint32), np.array([len(ids) for ids in got], dtype=np.int64)
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For words of letters: many as one text, cut again at the marks of last pieces."""
+        ids, n = [np.empty(0, dtype=np.uint32)], [np.empty(0, dtype=np.int64)]
         for at in range(0, len(words), JOINED):
             group = words[at : at + JOINED]
-            if self.last is not None and all(map(str.isalpha, group)):
-                own = np.array(self.tokenizer.encode(" ".join(group), add_special_tokens=False).ids, dtype=np.uint32)
-                ends = np.flatnonzero(self.last[own]) + 1
-                if len(ends) == len(group) and ends[-1] == len(own):
-                    ids.append(own)
-                    n.append(np.diff(ends, prepend=0))
-                    continue
-            own, count = self._library(group)
+            own = np.array(self.tokenizer.encode(" ".join(group), add_special_tokens=False).ids, dtype=np.uint32)
+            count = np.diff(np.flatnonzero(self.last[own]) + 1, prepend=0) if self.last is not None else own[:0]
+            if len(count) != len(group) or count.sum() != len(own):
+                own, count = self._library(group)
             ids.append(own)
             n.append(count)
-        return (np.concatenate(ids), np.concatenate(n)) if ids else (np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64))
+        return np.concatenate(ids), np.concatenate(n)
 
     def _slice(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         body, edges = data[int(at[0]) : int(at[-1])], at - at[0]
@@ -114,15 +135,16 @@ class WordEncoder:
             return np.empty(0, dtype=np.uint32), np.zeros(len(at), dtype=np.int64)
         if b"<|" not in body.tobytes():  # the names of special tokens keep their case
             body = _LOWER[body]
-        point = _POINT[body]
-        point[:-1] &= _GAP[body[1:]]
-        point[1:] &= _LETTER[body[:-1]]
+        kind = _CLASS[body]
+        point = kind == 4
+        point[:-1] &= kind[1:] == 1
+        point[1:] &= kind[:-1] == 2
         point[0] = False
-        words = words_of(body, edges, point)
-        each, unique = pd.factorize(words.codes)  # by hashing; sorting all words would cost more than all else here
-        if len(self.tables[0][0]) + len(unique) > CACHE_WORDS:
+        words = words_of(body, edges, point, kind != 1)
+        each, unique = pd.factorize(np.maximum(words.codes, U(1)))  # by hashing; sorting all words would cost more than all else here
+        if self.index.used + len(unique) > CACHE_WORDS:
             self._clear()
-        at, n = self._find(unique)
+        at, n = self.index.find(unique)
         fresh = np.flatnonzero(at < 0)
         if len(fresh):
             text = body.tobytes()
@@ -130,20 +152,17 @@ class WordEncoder:
             where[each[::-1]] = np.arange(len(each) - 1, -1, -1)  # the first word of each kind is written last
             first = where[fresh]
             new = [text[a:b].decode() for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)]
-            # Words of letters only go first, so that they are encoded together.
-            plain = np.fromiter(map(str.isalpha, new), dtype=bool, count=len(new))
-            order = np.argsort(~plain, kind="stable")
-            parts = [self._learn([new[i] for i in some]) for some in (order[: plain.sum()], order[plain.sum() :])]
+            kinds = np.array([0 if w.isalpha() and w.isascii() and w.islower() else 1 if w.isalpha() else 2 for w in new])
+            order = np.argsort(kinds, kind="stable")
+            ways = (self._direct, self._joined, self._library)
+            parts = [way([new[i] for i in order[kinds[order] == k]]) for k, way in enumerate(ways)]
             ids, count = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
             start = self._store(ids) + np.cumsum(count) - count
             at[fresh[order]], n[fresh[order]] = start, count
-            by = fresh[np.argsort(unique[fresh])]
-            self._merge(1, unique[by], at[by], n[by])
-            if len(self.tables[1][0]) > RECENT_WORDS:
-                self._merge(0, *self.tables[1])
-                self.tables[1] = tuple(x[:0] for x in self.tables[1])
-        total = np.concatenate([[0], np.cumsum(n[each])])
-        return self.flat[spans(n[each], at[each])], total[words.first]
+            self.index.add(unique[fresh], at[fresh], n[fresh])
+        n = n[each]
+        total = np.concatenate([[0], np.cumsum(n)])
+        return self.flat[spans(n, at[each])], total[words.first]
 
     def encode_column(self, column: pa.Array, end: int | None = None):
         """For slices of a text column (null: empty): (first row, ids, offsets of each row's ids).

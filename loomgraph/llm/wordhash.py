@@ -22,6 +22,7 @@ import pyarrow as pa
 U = np.uint64
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
+_BYTE = np.arange(1, 257, dtype=U)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASES = (0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
@@ -104,8 +105,8 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, dtype=np.uint8), at
 
 
-def words_of(data: np.ndarray, at: np.ndarray, cut: np.ndarray | None = None) -> Words:
-    """Split and hash the documents data[at[d]:at[d+1]]; ``cut`` marks bytes that start a word in any case."""
+def words_of(data: np.ndarray, at: np.ndarray, cut: np.ndarray | None = None, inside: np.ndarray | None = None) -> Words:
+    """Split and hash the documents data[at[d]:at[d+1]]; ``cut`` marks bytes that start a word in any case, ``inside`` those of words if that is known."""
     base = int(at[0])
     body = data[base : int(at[-1])]
     edges = at - base
@@ -113,7 +114,7 @@ def words_of(data: np.ndarray, at: np.ndarray, cut: np.ndarray | None = None) ->
     if not n:
         none = np.empty(0, dtype=np.int64)
         return Words(np.empty(0, dtype=U), none, none, np.zeros(len(at), dtype=np.int64), body)
-    inside = ~_SEP[body]
+    inside = ~_SEP[body] if inside is None else inside
     before = np.empty(n, dtype=bool)
     before[0] = False
     before[1:] = inside[:-1]
@@ -132,7 +133,8 @@ def words_of(data: np.ndarray, at: np.ndarray, cut: np.ndarray | None = None) ->
     up, down = powers(BYTE_BASE, n)
     sums = np.empty(n + 1, dtype=U)
     sums[0] = 0
-    np.cumsum((body.astype(U) + U(1)) * up[:n], out=sums[1:])
+    np.multiply(_BYTE[body], up[:n], out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
     codes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U) * U(0xA0761D6478BD642F))
     return Words(codes, start, end, np.searchsorted(start, edges), body)
 
