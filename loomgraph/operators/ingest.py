@@ -144,3 +144,10 @@ def gaps(answers: DataFrame, nodes: DataFrame) -> DataFrame:
     """(name, aliases, why) of hypotheses in gap answers (answer) that no node covers yet."""
     rows = answers.select(F.explode(F.from_json("answer", "struct<gaps:array<struct<name:string,aliases:array<string>,why:string>>>")["gaps"]).alias("g")).select(X.strip(F.col("g.name")).alias("name"), "g.aliases", "g.why")
     return resolve(rows.where("coalesce(name, '') <> ''"), "name", name_index(nodes), "known").where("known IS NULL").drop("known")
+
+
+def ingest_counts(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source, what, n): how many concepts and edge candidates of each page were kept or dropped, and why."""
+    concepts_ = found.select("source", F.when(F.col("grounded"), "concept kept").otherwise("concept without evidence").alias("what"))
+    edges_ = edges.select("source", F.concat(F.lit("edge "), F.coalesce(F.concat(F.lit("without "), "dropped"), F.lit("kept"))).alias("what"))
+    return concepts_.union(edges_).groupBy("source", "what").agg(F.count("*").alias("n"))

@@ -100,6 +100,19 @@ def triaged(nodes: DataFrame, edges: DataFrame, signals: DataFrame) -> DataFrame
     return rows.select("item_type", "item_id", told.alias("t"), hint.alias("hint")).select("item_type", "item_id", "t.*", "hint").orderBy(F.desc("item_type"), "tier", "item_id")
 
 
+def tier_summary(rows: DataFrame) -> DataFrame:
+    """(item_type, tier, n) of triaged items."""
+    return rows.groupBy("item_type", "tier").agg(F.count("*").alias("n"))
+
+
+def related_edges(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node_id, edge_id): proposed edges at the given nodes (id) whose ends are both visible, or among the given nodes."""
+    shown = nodes.where(S.visible(F.col("status"))).select("id").union(ids.select("id")).distinct()
+    e = edges.where("status = 'proposed'").join(shown.withColumnRenamed("id", "src"), "src", "left_semi").join(shown.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    sides = e.select(F.col("id").alias("edge_id"), F.explode(F.array_distinct(F.array("src", "dst"))).alias("node_id"))
+    return sides.join(ids.select(F.col("id").alias("node_id")).distinct(), "node_id", "left_semi").select("node_id", "edge_id")
+
+
 def auto_nodes(nodes: DataFrame, signals: DataFrame, tiers: Mapping[str, str] | None = None) -> DataFrame:
     """(id, decision) of proposed nodes that the rules settle: approve, or hold where the page may be another concept's."""
     s = signals.where("item_type = 'node'").select(F.col("item_id").alias("id"), "signals", "llm_verdict")

@@ -471,17 +471,36 @@ SHOWN_SQL = """shown AS (
   SELECT id FROM n WHERE status IN ('seed', 'approved'))"""
 
 
-@query(
-    f"""SELECT s.item_type, s.item_id, CAST(CASE
+TRIAGE_SQL = f"""tr AS (
+  SELECT s.item_type, s.item_id, CAST(CASE
     WHEN verdict IS NULL THEN 1 WHEN NOT is_edge THEN CASE WHEN starts_with(verdict, '应为facet') THEN 0 WHEN has_page AND exact_title AND NOT overlap THEN 0 WHEN has_page AND exact_title THEN 2 ELSE 0 END
     WHEN contains(verdict, '方向存疑') OR (starts_with(verdict, '支持') AND {OPPOSE_SQL}) OR (starts_with(verdict, '不支持') AND {SUPPORT_SQL}) THEN 0 WHEN starts_with(verdict, '证据不足') THEN 1 ELSE 2 END AS INT) AS tier
-FROM s LEFT JOIN e ON is_edge AND e.id = item_id WHERE NOT is_edge OR (e.src IN (FROM shown) AND e.dst IN (FROM shown))""",
-    V.SQL_SIGNALS, SHOWN_SQL,
-)
+FROM s LEFT JOIN e ON is_edge AND e.id = item_id WHERE NOT is_edge OR (e.src IN (FROM shown) AND e.dst IN (FROM shown)))"""
+
+
+@query("SELECT * FROM tr", V.SQL_SIGNALS, SHOWN_SQL, TRIAGE_SQL)
 def triage(spark, sf):
     return verify.triaged(V.nodes(spark, sf), V.edges(spark, sf), V.signals(spark, sf)).select("item_type", "item_id", "tier")
 
 
+@query("SELECT item_type, tier, count(*) AS n FROM tr GROUP BY ALL", V.SQL_SIGNALS, SHOWN_SQL, TRIAGE_SQL)
+def tier_summary(spark, sf):
+    return verify.tier_summary(verify.triaged(V.nodes(spark, sf), V.edges(spark, sf), V.signals(spark, sf)))
+
+
+@query(
+    """, ok AS (
+  SELECT id FROM n WHERE status <> 'rejected')
+SELECT DISTINCT p.id AS node_id, e.id AS edge_id FROM e JOIN n p ON p.status = 'proposed' AND p.id IN (e.src, e.dst)
+WHERE e.status = 'proposed' AND e.src IN (FROM ok) AND e.dst IN (FROM ok)""",
+    V.SQL_NODES, V.SQL_EDGES,
+)
+def related_edges(spark, sf):
+    """Edges that approving the proposed nodes would open for review."""
+    n = V.nodes(spark, sf)
+    return verify.related_edges(n, V.edges(spark, sf), n.where("status = 'proposed'"))
+
+
 @query()
 def signal_lines(spark, sf):
     return verify.triaged(V.nodes(spark, sf), V.edges(spark, sf), V.signals(spark, sf)).select("item_type", "item_id", "label", "hint")

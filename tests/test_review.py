@@ -160,6 +160,7 @@ def test_extraction(spark):
     edges = ingest.edge_candidates(found.where("grounded").withColumn("node_id", F.lit(9).cast("long")), texts, nodes)
     assert pairs(edges.where("dropped IS NULL"), "src", "dst", "confidence", "rationale") == {(1, 9, 0.6, "[推断] first")}
     assert sorted(r["dropped"] for r in edges.where("dropped IS NOT NULL").collect()) == ["endpoint", "evidence", "kind"]
+    assert pairs(ingest.ingest_counts(found, edges), "what", "n") == {("concept kept", 1), ("concept without evidence", 1), ("edge kept", 1), ("edge without endpoint", 1), ("edge without evidence", 1), ("edge without kind", 1)}
     anchors = spark.createDataFrame([("s", 1)], "source string, node_id long")
     assert ingest.with_anchor_facets(nodes, a, anchors).where("id = 1").first()["facets"] == ["short"]
     assert ingest.with_misconceptions(nodes, a, texts).orderBy("id").first()["facets"] == ["误区:wrong idea"]
