@@ -8,8 +8,8 @@ import pyarrow as pa
 
 from .wordhash import U, buffers, slices, words_of
 
-#: Words kept by a worker (about 40 bytes each); a full cache starts anew.
-CACHE_WORDS = 2_000_000
+#: Words kept by a worker (at most about 90 bytes each); a full cache starts anew.
+CACHE_WORDS = 1_300_000
 #: Words that one call of the library encodes as a single text.
 JOINED = 512
 
@@ -50,7 +50,7 @@ class Index:
         if 2 * self.used > self.mask:
             old = self.keys != 0
             keys, at, n = (np.concatenate([have[old], new]) for have, new in ((self.keys, keys), (self.at, at), (self.n, n)))
-            slots = 1 << (4 * self.used).bit_length()
+            slots = 1 << (3 * self.used).bit_length()
             self.__init__(slots)
             self.used = len(keys)
         todo = np.arange(len(keys))
