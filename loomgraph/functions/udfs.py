@@ -7,11 +7,12 @@ import re
 from difflib import SequenceMatcher
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import CONTAINED_SHARE
+from ..schema import CONTAINED_SHARE, TITLE_SIMILARITY
 
 # Tags of dropped subtrees, of main regions and of blocks; headings of skipped sections.
 DROPPED = frozenset("script style nav header footer aside pre code svg button form noscript".split())
@@ -124,6 +125,35 @@ def json_in(text: str | None) -> str | None:
     return json.dumps(value, ensure_ascii=False)
 
 
+def _letters(texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and character counts (folded into 64 classes) of texts, lower-case and without spaces."""
+    plain = [(x or "").lower().replace(" ", "") for x in texts]
+    return np.array([len(x) for x in plain]), np.array([np.bincount([ord(c) & 63 for c in x], minlength=64) if x else np.zeros(64, dtype=np.int64) for x in plain]).astype(np.int32)
+
+
+def alike(query: pd.Series, title: pd.Series, least: float = TITLE_SIMILARITY) -> np.ndarray:
+    """Whether ``similarity`` is ``least`` (0.75 or more) or higher.
+
+    Two texts match in no more characters than they have in common, so shared
+    characters bound the ratio, and a contained text that fills 0.6 of the
+    other reaches 0.75 by this bound; only pairs within it are compared.
+    """
+    (qi, qs), (ti, ts) = pd.factorize(query, use_na_sentinel=False), pd.factorize(title, use_na_sentinel=False)
+    if not len(qi):
+        return np.zeros(0, dtype=bool)
+    (ql, qc), (tl, tc) = (_letters([x if isinstance(x, str) else "" for x in u]) for u in (qs, ts))
+    shared = np.minimum(qc[qi], tc[ti]).sum(axis=1)
+    out = 2 * shared >= least * (ql[qi] + tl[ti]) - 1e-9
+    for i in np.flatnonzero(out):
+        out[i] = similarity(qs[qi[i]], ts[ti[i]]) >= least
+    return out
+
+
+@F.pandas_udf(T.BooleanType())
+def alike_titles(query: pd.Series, title: pd.Series) -> pd.Series:
+    return pd.Series(alike(query, title))
+
+
 @F.pandas_udf(T.DoubleType())
 def similar(query: pd.Series, title: pd.Series) -> pd.Series:
     return pd.Series([similarity(q, t) for q, t in zip(query, title, strict=True)], dtype="float64")

@@ -17,6 +17,15 @@ def test_similarity_cases():
     assert U.similarity("", "x") == U.similarity(None, None) == 0.0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="abAB c网络", max_size=12), st.text(alphabet="abAB c网络", max_size=12)), min_size=1, max_size=8))
+def test_alike_is_similarity(pairs):
+    import pandas as pd
+
+    q, t = pd.Series([a for a, _ in pairs]), pd.Series([b for _, b in pairs])
+    assert U.alike(q, t).tolist() == [U.similarity(a, b) >= 0.75 for a, b in pairs]
+
+
 def test_evidence(spark):
     cases = [("A b…d e", "d e and then a  B", True), ("a...z", "a b", False), ("", "text", False), ("…", "text", False), (None, "text", False), ("x", None, False), ("全　文", "这是全文", True)]
     rows = spark.createDataFrame([(i, e, t) for i, (e, t, _) in enumerate(cases)], "i int, e string, t string")
