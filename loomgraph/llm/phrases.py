@@ -98,13 +98,15 @@ def automaton(codes: np.ndarray, at: np.ndarray):
 
 
 def located(texts: DataFrame) -> DataFrame:
-    """Hashes of all windows that hold a confirmed phrase: (h1, h2, doc_id, place).
+    """Hashes of all windows that hold a confirmed phrase: (h1, h2, doc_id, place, again).
 
     ``texts`` is (doc_id, tag, text, anchors) with the recurring anchors of each
     document.  A shard is a slice of documents (about SHARD bytes); its automaton has
     the confirmed phrases that its documents name, each document is streamed
     through it, and every occurrence marks the windows around.  ``place`` is
-    the word that a window starts at, with ``tag`` in the upper half.
+    the word that a window starts at, with ``tag`` in the upper half.  A window
+    that its document had before has the place of the first one in ``again``
+    and no hashes, so a text that repeats a few words sends each window once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,12 +133,19 @@ def located(texts: DataFrame) -> DataFrame:
                 h1, h2 = (run_hashes(words.codes, WINDOW, base)[starts].view(np.int64) for base in WORD_BASES)
                 doc = words.doc_of()[starts]
                 tag = batch["tag"].to_numpy(zero_copy_only=False)[a + doc]
+                short, place = (h2 >> 32).astype(np.int32), (tag << 32) | (starts - words.first[doc])
+                order = np.lexsort((place, short, h1, doc))
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = (np.diff(doc[order]) != 0) | (np.diff(h1[order]) != 0) | (np.diff(short[order]) != 0)
+                first = place[order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]]
+                of = np.where(new, 0, first)
+                some = lambda x, kind: pa.array(x[order], kind, mask=~new)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1), pa.array((h2 >> 32).astype(np.int32)), batch["doc_id"].take(pa.array(a + doc)), pa.array((tag << 32) | (starts - words.first[doc]))],
-                    names=["h1", "h2", "doc_id", "place"],
+                    [some(h1, pa.int64()), some(short, pa.int32()), batch["doc_id"].take(pa.array(a + doc[order])), pa.array(place[order]), pa.array(of, pa.int64(), mask=new)],
+                    names=["h1", "h2", "doc_id", "place", "again"],
                 )
 
-    return texts.mapInArrow(run, "h1 long, h2 int, doc_id long, place long")
+    return texts.mapInArrow(run, "h1 long, h2 int, doc_id long, place long, again long")
 
 
 def cut(texts: DataFrame) -> DataFrame:
@@ -193,9 +202,11 @@ def phrase_dedup(docs: DataFrame, work: Work, text: str = "text", key: str = "do
     named = work.table(posted.join(shared, "anchor").groupBy("doc_id", "tag").agg(F.collect_list("anchor").alias("anchors")), "named")
     candidates = work.table(matching(rows.where(F.col("doc_id").isNotNull()).join(named, "doc_id").select("doc_id", "tag", "text", "anchors")), "candidates")
     windows = work.table(located(candidates), "windows")
-    earliest = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first")
-    later = windows.join(earliest, ["h1", "h2"]).where(F.col("doc_id") > F.col("first"))
-    starts = later.groupBy("doc_id", F.shiftright("place", 32).alias("tag")).agg(F.collect_set(F.col("place").bitwiseAND(TAG).cast("int")).alias("starts"))
+    once, again = windows.where("again IS NULL").drop("again"), windows.where("again IS NOT NULL").select("doc_id", F.col("place").alias("repeat"), F.col("again").alias("place"))
+    earliest = once.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first")
+    later = once.join(earliest, ["h1", "h2"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "place")
+    repeats = again.join(later.distinct(), ["doc_id", "place"]).select("doc_id", F.col("repeat").alias("place"))
+    starts = later.union(repeats).groupBy("doc_id", F.shiftright("place", 32).alias("tag")).agg(F.collect_set(F.col("place").bitwiseAND(TAG).cast("int")).alias("starts"))
     flagged = work.table(cut(candidates.select("doc_id", "tag", "text").join(starts, ["doc_id", "tag"])), "cut").dropDuplicates(["doc_id", "tag"])
     work.drop(windows, candidates, named)
     copy = (F.col("n_words") >= WINDOW) & (F.col("rep") < F.col("doc_id"))
