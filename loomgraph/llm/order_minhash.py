@@ -17,10 +17,12 @@ from .wordhash import WORD_BASES, U, Words, buffers, mix, powers, run_hashes, sl
 SHINGLE, LEAST, KEPT = 5, 0.8, 2
 #: Bands of a document, and the sketches that must agree in one.
 BANDS, PER_BAND = 40, 1
-#: Buckets up to this size are compared pair by pair; larger ones through hubs.
+#: Buckets up to this size are compared pair by pair at once; larger ones through hubs first.
 SMALL = 8
-#: Hubs of a larger bucket.
+#: Hubs of a larger bucket, at most.
 HUBS = 3
+#: Members of a larger bucket that meet as one block, on average at most, and cells of a text's word histogram.
+BLOCK, CELLS = 512, 256
 #: Partners of a hub that one task aligns, on average at most.
 PARTNERS = 2000
 
@@ -82,8 +84,30 @@ def sketch(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def histograms(words: Words) -> np.ndarray:
+    """Words of every document by hash cell, counted up to 255: documents x CELLS bytes."""
+    n = np.diff(words.first)
+    cell = np.repeat(np.arange(len(n)) * CELLS, n) + (mix(words.codes[words.first[0] : words.first[-1]]) % U(CELLS)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=len(n) * CELLS), 255).astype(np.uint8).reshape(len(n), CELLS)
+
+
+def least_edits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For every row of ``a`` and of ``b``, edits that two texts of such histograms need at least.
+
+    An edit takes away one word of a text at most, so each surplus word on one
+    side costs one; equal words share a cell, and counts that end at 255 only
+    lower the surplus.
+    """
+    left, right = a.T.astype(np.uint16), b.T.astype(np.uint16)
+    common, part = np.zeros((len(a), len(b)), dtype=np.uint16), np.empty((len(a), len(b)), dtype=np.uint16)
+    for x, y in zip(left, right, strict=True):
+        if x.any() and y.any():
+            common += np.minimum(x[:, None], y[None, :], out=part)
+    return np.maximum(left.sum(axis=0, dtype=np.int64)[:, None], right.sum(axis=0, dtype=np.int64)[None, :]) - common
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (d1, d2) and number of its words, and band keys (none without words)."""
+    """doc_id, digest (d1, d2) and number of its words, band keys (none without words) and word histogram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,24 +124,25 @@ def sketches(docs: DataFrame) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum((n > 0) * BANDS)]).astype(np.int32)
                 flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(a, b - a), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                    names=["doc_id", "d1", "d2", "n_words", "bands"],
+                    [batch["doc_id"].slice(a, b - a), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([c.tobytes() for c in histograms(words)], pa.binary())],
+                    names=["doc_id", "d1", "d2", "n_words", "bands", "cells"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, d1 long, d2 long, n_words long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, d1 long, d2 long, n_words long, bands array<long>, cells binary")
 
 
-def candidates(texts: DataFrame, work: Work) -> DataFrame:
-    """Pairs a < b of (rep, n_words, bands) rows that share a band key and have lengths that allow a link.
+def candidates(texts: DataFrame, work: Work) -> tuple[DataFrame, DataFrame]:
+    """First pairs a < b of (rep, n_words, bands) rows that share a band key and have lengths that allow a link, and the crowded buckets.
 
     Buckets of up to SMALL rows give all pairs.  Larger ones give each row's
     pairs with HUBS hubs, the smallest ids of hash groups, which differ from
-    bucket to bucket; so the number of pairs is linear in the bucket.
+    bucket to bucket; their other pairs are left to ``rest``, for which their
+    rows are returned as (key, rep).
     """
     posted = work.table(texts.select("rep", "n_words", F.explode("bands").alias("key")), "posted")
-    group = F.pmod(F.xxhash64("rep", "key"), F.lit(HUBS - 1)) + 1
+    group = F.pmod(F.xxhash64("rep", "key"), F.lit(HUBS))
     one = F.struct("rep", "n_words")
-    hubs = [F.min(one)] + [F.min(F.when(group == h, one)) for h in range(1, HUBS)]
+    hubs = [F.min(F.when(group == h, one)) for h in range(HUBS)]
     buckets = work.table(posted.groupBy("key").agg(F.count("*").alias("n"), F.array(*hubs).alias("hubs")).where("n > 1"), "buckets")
     members = posted.join(buckets, "key")
     small = members.where(F.col("n").between(3, SMALL)).groupBy("key").agg(F.collect_list(one).alias("all"))
@@ -126,7 +151,42 @@ def candidates(texts: DataFrame, work: Work) -> DataFrame:
     pairs = by_hub.union(by_pair).where(F.col("y").isNotNull() & (F.col("x.rep") != F.col("y.rep")))
     fits = F.least("x.n_words", "y.n_words") >= F.lit(LEAST) * F.greatest("x.n_words", "y.n_words") - 1e-9
     out = work.table(pairs.where(fits).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct(), "pairs")
+    crowded = work.table(members.where(F.col("n") > SMALL).select("key", "rep"), "crowded")
     work.drop(posted, buckets)
+    return out, crowded
+
+
+def rest(texts: DataFrame, crowded: DataFrame, labels: DataFrame, done: DataFrame, work: Work) -> DataFrame:
+    """The pairs a < b inside crowded buckets that are neither in one class nor among ``done`` and that histograms don't rule out.
+
+    A bucket of several classes is cut into blocks by a hash of the id, and
+    every two blocks meet in a group of bounded size, so all pairs are looked
+    at, whatever the size of the bucket.
+    """
+    own = work.table(crowded.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("label")), "own")
+    split = own.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    rows = own.join(split, "key").join(texts.select("rep", "n_words", "cells"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "label", "n_words", "cells")
+
+    def compare(group: pa.Table) -> pa.Table:
+        rep, label, n, block = (group[c].to_numpy() for c in ("rep", "label", "n_words", "block"))
+        cells = np.frombuffer(b"".join(group["cells"].to_pylist()), dtype=np.uint8).reshape(len(rep), CELLS)
+        lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
+        x, y = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        shorter, longer = np.minimum(n[x][:, None], n[y][None, :]), np.maximum(n[x][:, None], n[y][None, :])
+        open_ = (label[x][:, None] != label[y][None, :]) & (shorter >= LEAST * longer - 1e-9)
+        if lo == hi:
+            open_ &= rep[x][:, None] < rep[y][None, :]
+        if open_.any():
+            open_ &= least_edits(cells[x], cells[y]) <= ((1 - LEAST) * longer + 1e-9).astype(np.int64)
+        i, j = np.nonzero(open_)
+        p, q = rep[x[i]], rep[y[j]]
+        return pa.table({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+
+    found = dealt.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+    out = work.table(found.join(done, ["a", "b"], "left_anti"), "rest")
+    work.drop(own)
     return out
 
 
@@ -165,7 +225,9 @@ def near_duplicates(docs: DataFrame, work: Work, text: str = "text", key: str =
     ``copy_of`` is the smallest id with the same word sequence, ``class_id``
     the smallest id that links lead to.  Two different texts are linked if
     they share a band of Order MinHash sketches over five-word k-mers and
-    align with similarity 0.8 or more.
+    align with similarity 0.8 or more.  Any two texts of one band are aligned
+    unless links of others have put them into one class, or their lengths or
+    words rule that similarity out.
 
     Every row of ``docs`` has a row; rows of one id repeat.  A null text, an
     empty one and one of white space are a class of their own.  A null id has
@@ -174,10 +236,15 @@ def near_duplicates(docs: DataFrame, work: Work, text: str = "text", key: str =
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = work.table(sketches(rows), "sketches")
-    copies = work.table(found.where("n_words > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands")), "texts")
-    pairs = candidates(copies.where("rep IS NOT NULL"), work)
-    links = work.table(verified(pairs, rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), work).select("a", "b").distinct(), "links")
+    copies = work.table(found.where("n_words > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands"), F.first("cells").alias("cells")), "texts")
+    texts, named = copies.where("rep IS NOT NULL"), rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    pairs, crowded = candidates(texts, work)
+    links = work.table(verified(pairs, named, work).select("a", "b").distinct(), "links")
     labels = components(work, links)
+    left = rest(texts, crowded, labels, pairs, work)
+    if not left.isEmpty():
+        links = work.table(links.union(verified(left, named, work).select("a", "b")).distinct(), "links")
+        labels = components(work, links)
     classes = copies.select("d1", "d2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("d1", "d2", "rep", F.coalesce("label", "rep").alias("label"))
     own = F.col("n_words") == 0
     return found.join(classes, ["d1", "d2"], "left").select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("rep")).alias("copy_of"), F.when(own, F.col("doc_id")).otherwise(F.col("label")).alias("class_id"))

@@ -276,6 +276,41 @@ def test_near_duplicates_of_odd_texts(spark, docs):
     assert [got[i] for i in (1, 2, 3, 4, 5, 9, 10, 15, 13)] == [1, 2, 3, 4, 4, 8, 8, 8, 13]
 
 
+def test_star_family_in_crowded_buckets(spark):
+    rng = random.Random(8)
+    base, texts = [f"b{i}" for i in range(200)], {}
+    for d in range(300):  # each aligns with the base alone, whose id is the largest
+        own = list(base)
+        for at in rng.sample(range(0, 200, 8), 6):
+            own[at : at + 6] = [f"x{d}.{at}.{i}" for i in range(6)]
+        texts[d] = " ".join(own)
+    texts[1000] = " ".join(base)
+    tokens = {d: t.encode().split() for d, t in texts.items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bands = {r["doc_id"]: set(r["bands"]) for r in order_minhash.sketches(df).select("doc_id", "bands").collect()}
+    links = [(a, b) for a, b in itertools.combinations(sorted(texts), 2) if bands[a] & bands[b] and align.similarity(tokens[a], tokens[b], 0.8) >= 0.8]
+    label = {d: d for d in texts}
+    for _ in range(3):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(df, Work(spark, "t")).collect()}
+    assert got == label and len(set(label.values())) < 100
+
+
+def test_larger_buckets_have_all_their_hubs(spark):
+    texts = spark.createDataFrame([(i, 100, [7]) for i in range(60)], "rep long, n_words long, bands array<long>")
+    pairs = order_minhash.candidates(texts, Work(spark, "t"))[0].collect()
+    degree = collections.Counter(x for r in pairs for x in (r["a"], r["b"]))
+    assert sum(n == 59 for n in degree.values()) == order_minhash.HUBS
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcdef"), max_size=14), st.lists(st.sampled_from("abcdef"), max_size=14))
+def test_histograms_never_rule_out_too_much(a, b):
+    cells = [np.bincount([ord(x) % 4 for x in t], minlength=4)[None, :].astype(np.uint8) for t in (a, b)]
+    assert order_minhash.least_edits(*cells)[0, 0] <= slow_distance(a, b)
+
+
 def test_order_matters():
     x = np.random.default_rng(3).integers(1, 2**63, 400).astype(np.uint64)
     turned = np.concatenate([x[200:], x[:200]])
