@@ -7,8 +7,17 @@ from pyspark.sql import functions as F
 
 from .license_texts import EQUIVALENT, KNOWN
 
-#: A line of copyright or rights reservation, on lower-case text, with its line break.
-COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: Words that follow "copyright", or "(c)" as a list mark, in the prose of licences; other words there are names.
+_PROSE = "(holders?|owners?)(?! *:)|(notices?|laws?|licen[sc]es?|statements?|and|or|in|is|are|of|on|to|that|interests?|protection|acts?|treat(y|ies)|under|infringement|management|status|disclaimers?)"
+_LISTED = "you|your|accompany|any|if|the|an?|in|for|to|this|that|use|all|each|it|must|may|no|neither|redistributions?|copyright (holders?|owners?|notices?)"
+#: A line of copyright (with a year, mark or name) or rights reservation, on lower-case text, with its line break.
+COPYRIGHT_LINE = (
+    r"(^|\n)[^\p{L}\p{N}©(\n]*(\((?!c\))[^\p{L}\p{N}©(\n]*)*"
+    rf"(copyright([^\p{{L}}\p{{N}}\n]*(©|\(c\))|[^\p{{L}}\p{{N}}\n]+(?!({_PROSE})(?![\p{{L}}\p{{N}}]))[\p{{L}}\p{{N}}])"
+    rf"|©|\(c\)[^\p{{L}}\p{{N}}\n]*(?!({_LISTED})(?![\p{{L}}\p{{N}}]))[\p{{L}}\p{{N}}]|all rights reserved)[^\n]*"
+)
+#: The SQL's pattern: it takes any line that begins with these words for a copyright line.
+SQL_COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 #: ASCII other than lower-case letters and digits, and common typographic marks.
 _MARKS = r"\x00-\x2f\x3a-\x60\x7b-\x7f\x{a0}\x{ab}\x{bb}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{3000}"
 PUNCTUATION = f"[{_MARKS}]+"
@@ -76,7 +85,7 @@ def sql() -> str:
     """The same lookup for DuckDB, with the default licences."""
 
     def canon(x: str) -> str:
-        out = f"regexp_replace(lower(coalesce({x}, '')), '{COPYRIGHT_LINE}', chr(10), 'g')"
+        out = f"regexp_replace(lower(coalesce({x}, '')), '{SQL_COPYRIGHT_LINE}', chr(10), 'g')"
         out = f"' ' || trim(regexp_replace({out}, '{PUNCTUATION}', ' ', 'g')) || ' '"
         for found, written in EQUIVALENT:
             out = f"replace({out}, ' {found} ', ' {written} ')"

@@ -2,6 +2,7 @@ import collections
 import hashlib
 import itertools
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -223,6 +224,21 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([(1, "x\nSub Licence it")], "doc_id long, text string"), other).first()["notices"] == "L1,L2"
 
 
+def test_licences_at_any_wrap_width(spark):
+    rows, want = [], {}
+    for name, text in licenses.KNOWN:
+        for width in range(24, 100, 3):
+            want[len(rows)] = name
+            wrapped = "\n".join("\n".join(textwrap.wrap(line, width, break_on_hyphens=False)) for line in text.split("\n"))
+            rows.append((len(rows), "Copyright (c) 2020 Some One\n" + wrapped))
+    heads = ["Copyright 2019-2020 Acme", "(c) Acme Inc.", "© Jane Doe", "Copyright Jane Doe", "// Copyright by X", "Copyright (C) <year> <owner>", "Copyright holder: Jane", "All rights reserved."]
+    for head in heads:
+        want[len(rows)] = "MIT"
+        rows.append((len(rows), head + "\n" + licenses.KNOWN[0][1]))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_licenses(spark))
+    assert {r["doc_id"]: r["license"] for r in got.collect()} == want
+
+
 # --- near duplicates ------------------------------------------------------------------------------
 
 
