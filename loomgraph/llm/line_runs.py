@@ -80,10 +80,12 @@ def repeated_starts(rows: DataFrame, work: Work, min_lines: int) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, work: Work, min_lines: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Maximal repeated runs that are later copies: (doc_id, start, stop, first_doc, first_pos).
+    """Repeated runs that are later copies: (doc_id, start, stop, first_doc, first_pos).
 
     Consecutive starts with sources that advance alike are one run of lines
-    [start, stop); the source is the run's first occurrence.
+    [start, stop); the source of a start is the first occurrence of its
+    ``min_lines`` lines.  So runs need not be maximal: one that is copied whole
+    from a document is split where an earlier document has a part of it.
     """
     line = F.col("line")
     # Two seeded hashes name a line with 128 bits.
