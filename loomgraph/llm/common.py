@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,9 @@ class Work:
         self.made += 1
         path = f"{self.root}/{self.made}-{name}"
         df.write.parquet(path)
+        # Shuffle files of finished queries go when the driver's garbage is collected.
+        gc.collect()
+        self.spark._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._work_path = path
         return out
@@ -54,6 +58,24 @@ class Work:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A class is hot if it holds more than one in so many of all rows; so at most so many are.
+HOT_SHARE = 1000
+
+
+def with_class(rows: DataFrame, classes: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` joined with their class, whatever share of them one class holds.
+
+    ``classes`` has one row for each value of ``on``, and in ``size`` the number
+    of its rows, which are ``total`` at least in all.  Classes over a
+    HOT_SHARE-th of that are HOT_SHARE at most, so those are broadcast and their
+    rows stay where they are; the others meet by shuffle.
+    """
+    least = total // HOT_SHARE
+    hot = F.broadcast(classes.where(F.col(size) > least))
+    cold = rows.join(hot.select(*on), on, "left_anti").join(classes.where(F.col(size) <= least), on)
+    return rows.join(hot, on).unionByName(cold)
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text; null counts 0."""
     parts = F.split(F.coalesce(text, F.lit("")), WORD_GAP)
@@ -61,13 +83,13 @@ def n_words(text: Column) -> Column:
     return F.when(F.size(parts) == 1, F.lit(1) - edge(1)).otherwise(F.size(parts) - edge(1) - edge(-1)).cast("long")
 
 
-def components(work: Work, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(work: Work, edges: DataFrame) -> DataFrame:
     """Smallest reachable node of every node of ``edges`` (a, b): (node, label).
 
     First every node's links are bent to its least neighbour, which leaves
     about one link for each node and keeps what is connected.  Then minimum
     labels travel along links and jump through their own label, so a path of n
-    nodes needs about log n rounds.  Labels stay distributed; the driver only
+    nodes needs about log n rounds; every round but the last lowers a label.  Labels stay distributed; the driver only
     learns whether any changed.
     """
     least = edges.groupBy("b").agg(F.min("a").alias("m"))
@@ -76,7 +98,7 @@ def components(work: Work, edges: DataFrame, most_rounds: int = 60) -> DataFrame
     both = work.table(bent.select(F.col("m").alias("src"), F.col("x").alias("dst")).union(bent.select("x", "m")).distinct(), "links")
     work.drop(bent)
     labels = work.table(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("label")), "labels")
-    for _ in range(most_rounds):
+    while True:
         seen = both.join(labels.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("seen"))
         near = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("near"))
         jump = labels.select(F.col("node").alias("near"), F.col("label").alias("jumped"))
@@ -87,4 +109,3 @@ def components(work: Work, edges: DataFrame, most_rounds: int = 60) -> DataFrame
         if new.where("label <> old").isEmpty():
             work.drop(both)
             return labels
-    raise RuntimeError("labels did not settle")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .align import similarity
 from .common import Work, components
-from .wordhash import WORD_BASES, U, Words, buffers, mix, powers, run_hashes, slices, words_of
+from .wordhash import SEEDS, U, Words, buffers, mix, run_hashes, sequence_digests, slices, words_of
 
 #: Words of a k-mer, least similarity of a link, k-mers kept by a sketch.
 SHINGLE, LEAST, KEPT = 5, 0.8, 2
@@ -30,18 +30,6 @@ _FUNCTIONS = mix(np.arange(1, BANDS * PER_BAND + 1, dtype=U) * U(0x9E3779B97F4A7
 _TOP = U(0xFFFFFFFFFFFFFFFF)
 
 
-def document_digests(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of the word sequence of every document."""
-    out = []
-    for base in WORD_BASES:
-        up, down = powers(base, len(words.codes) + 1)
-        sums = np.zeros(len(words.codes) + 1, dtype=U)
-        np.cumsum(words.codes * up[: len(words.codes)], out=sums[1:])
-        a, b = words.first[:-1], words.first[1:]
-        out.append(mix((sums[b] - sums[a]) * down[a] + (b - a).astype(U) * U(0xA0761D6478BD642F)))
-    return out[0], out[1]
-
-
 def labelled(kmers: np.ndarray) -> np.ndarray:
     """k-mer hashes with their occurrence number mixed in: the second equal k-mer differs from the first."""
     order = np.argsort(kmers, kind="stable")
@@ -114,8 +102,8 @@ def sketches(docs: DataFrame) -> DataFrame:
             data, at = buffers(batch["text"])
             for a, b in slices(at):
                 words = words_of(data, at[a : b + 1])
-                d1, d2 = document_digests(words)
-                kmers = run_hashes(words.codes, SHINGLE, WORD_BASES[0])
+                d1, d2 = sequence_digests(words)
+                kmers = run_hashes(words.codes, SHINGLE, SEEDS[0])
                 n, keys = np.diff(words.first), []
                 for d in range(b - a):
                     lo, size = int(words.first[d]), int(n[d])

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from .wordhash import U, buffers, slices, words_of
+from .wordhash import U, buffers, same_words, slices, words_of
 
 #: Words kept by a worker (at most about 90 bytes each); a full cache starts anew.
 CACHE_WORDS = 1_300_000
@@ -23,11 +23,11 @@ _CLASS[[0x2C, 0x2E]] = 4
 
 
 class Index:
-    """An open-addressing hash table in arrays: from word codes to where ids start and how many they are."""
+    """An open-addressing hash table in arrays: from word codes to numbers 0, 1, ... of words."""
 
     def __init__(self, slots: int = 1 << 16):
         self.mask, self.used = slots - 1, 0
-        self.keys, self.at, self.n = np.zeros(slots, dtype=U), np.zeros(slots, dtype=np.int32), np.zeros(slots, dtype=np.int32)
+        self.keys, self.number = np.zeros(slots, dtype=U), np.zeros(slots, dtype=np.int32)
 
     def slots_of(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key, or of the empty place where its search ends."""
@@ -39,29 +39,44 @@ class Index:
             slot[todo] = (slot[todo] + 1) & self.mask
         return slot
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where ids start (-1: unknown) and how many there are."""
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for unknown ones."""
         slot = self.slots_of(keys)
-        return np.where(self.keys[slot] == keys, self.at[slot], -1).astype(np.int64), self.n[slot].astype(np.int64)
+        return np.where(self.keys[slot] == keys, self.number[slot], -1).astype(np.int64)
 
-    def add(self, keys: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
-        """Adds different keys that aren't there yet."""
-        self.used += len(keys)
-        if 2 * self.used > self.mask:
+    def add(self, keys: np.ndarray) -> None:
+        """Adds different keys that aren't there yet; they get the next numbers."""
+        number = np.arange(self.used, self.used + len(keys), dtype=np.int32)
+        used = self.used + len(keys)
+        if 2 * used > self.mask:
             old = self.keys != 0
-            keys, at, n = (np.concatenate([have[old], new]) for have, new in ((self.keys, keys), (self.at, at), (self.n, n)))
-            slots = 1 << (3 * self.used).bit_length()
-            self.__init__(slots)
-            self.used = len(keys)
+            keys, number = np.concatenate([self.keys[old], keys]), np.concatenate([self.number[old], number])
+            self.__init__(1 << (3 * used).bit_length())
+        self.used = used
         todo = np.arange(len(keys))
         while len(todo):  # of keys that meet in an empty slot the last one stays
             slot = self.slots_of(keys[todo])
             self.keys[slot] = keys[todo]
             mine = self.keys[slot] == keys[todo]
-            self.at[slot[mine]], self.n[slot[mine]] = at[todo[mine]], n[todo[mine]]
+            self.number[slot[mine]] = number[todo[mine]]
             todo = todo[~mine]
 
 
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        self.room, self.n = np.empty(1 << 12, dtype=kind), 0
+
+    def add(self, new: np.ndarray) -> int:
+        """Where the new values begin."""
+        if self.n + len(new) > len(self.room):
+            self.room = np.concatenate([self.room[: self.n], np.empty(max(len(self.room) // 2, 2 * len(new)), dtype=self.room.dtype)])
+        self.room[self.n : self.n + len(new)] = new
+        self.n += len(new)
+        return self.n - len(new)
+
+
 def spans(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Indices starts[i], ..., starts[i] + lengths[i] - 1 for every i in turn."""
     ends = np.cumsum(lengths)
@@ -73,8 +88,10 @@ class WordEncoder:
 
     Texts are cut at ASCII white space, and before a comma or full stop that
     ends a word after an ASCII letter; words are found by 64-bit hash in a
-    hash table, and only new ones reach the library.  ASCII capitals are
-    folded before.  This is exact for tokenizers that lower-case, drop white
+    hash table, and only new ones reach the library.  Every use of a word that
+    is known already compares its bytes; a slice of texts in which two words
+    share a hash is left to the library.  ASCII capitals are folded before.
+    This is exact for tokenizers that lower-case, drop white
     space and keep letters apart from punctuation; a probe text decides on
     loading, and for others whole texts are encoded.
     """
@@ -95,15 +112,9 @@ class WordEncoder:
         self.whole = self.encode([self.PROBE])[0].tolist() != self.tokenizer.encode(self.PROBE, add_special_tokens=False).ids
 
     def _clear(self) -> None:
-        self.index = Index()
-        self.flat, self.used = np.empty(1 << 16, dtype=np.uint32), 0
-
-    def _store(self, ids: np.ndarray) -> int:
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.empty(max(len(self.flat), 2 * len(ids)), dtype=np.uint32)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        return self.used - len(ids)
+        self.index, self.flat, self.bytes = Index(), Grown(np.uint32), Grown(np.uint8)
+        # By number of the word: first eight bytes, size, where the other bytes are, where ids are and how many.
+        self.lane, self.size, self.rest, self.at, self.n = Grown(U), Grown(np.int32), Grown(np.int64), Grown(np.int64), Grown(np.int32)
 
     def _library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after another, and how many each has."""
@@ -130,7 +141,7 @@ class WordEncoder:
         return np.concatenate(ids), np.concatenate(n)
 
     def _slice(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        body, edges = data[int(at[0]) : int(at[-1])], at - at[0]
+        body, edges, edges_from = data[int(at[0]) : int(at[-1])], at - at[0], at[0]
         if not len(body):
             return np.empty(0, dtype=np.uint32), np.zeros(len(at), dtype=np.int64)
         if b"<|" not in body.tobytes():  # the names of special tokens keep their case
@@ -144,25 +155,45 @@ class WordEncoder:
         each, unique = pd.factorize(np.maximum(words.codes, U(1)))  # by hashing; sorting all words would cost more than all else here
         if self.index.used + len(unique) > CACHE_WORDS:
             self._clear()
-        at, n = self.index.find(unique)
-        fresh = np.flatnonzero(at < 0)
+        where = np.empty(len(unique), dtype=np.int64)
+        where[each[::-1]] = np.arange(len(each) - 1, -1, -1)  # the first word of each kind is written last
+        size, start = words.end - words.start, words.start
+        kind = where[each]
+        alike = (words.lane == words.lane[kind]) & (size == size[kind])
+        long = np.flatnonzero(alike & (size > 8))
+        alike[long] = same_words(body, start[long], body, start[kind[long]], size[long], 8)
+        number = self.index.find(unique)
+        old = np.flatnonzero(number >= 0)
+        known, here = number[old], where[old]
+        match = (self.lane.room[known] == words.lane[here]) & (self.size.room[known] == size[here])
+        long = np.flatnonzero(match & (size[here] > 8))
+        match[long] = same_words(self.bytes.room[: self.bytes.n], self.rest.room[known[long]] - 8, body, start[here[long]], size[here[long]], 8)
+        if not (alike.all() and match.all()):
+            raw, cut = data[int(edges_from) : int(edges_from) + len(body)].tobytes(), edges.tolist()
+            ids, n = self._library([raw[a:b].decode() for a, b in zip(cut[:-1], cut[1:], strict=True)])
+            return ids, np.concatenate([[0], np.cumsum(n)])
+        fresh = np.flatnonzero(number < 0)
         if len(fresh):
             text = body.tobytes()
-            where = np.empty(len(unique), dtype=np.int64)
-            where[each[::-1]] = np.arange(len(each) - 1, -1, -1)  # the first word of each kind is written last
             first = where[fresh]
-            new = [text[a:b].decode() for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)]
+            new = [text[a:b].decode() for a, b in zip(start[first].tolist(), words.end[first].tolist(), strict=True)]
             kinds = np.array([0 if w.isalpha() and w.isascii() and w.islower() else 1 if w.isalpha() else 2 for w in new])
             order = np.argsort(kinds, kind="stable")
             ways = (self._direct, self._joined, self._library)
             parts = [way([new[i] for i in order[kinds[order] == k]]) for k, way in enumerate(ways)]
             ids, count = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-            start = self._store(ids) + np.cumsum(count) - count
-            at[fresh[order]], n[fresh[order]] = start, count
-            self.index.add(unique[fresh], at[fresh], n[fresh])
-        n = n[each]
+            fresh, first = fresh[order], first[order]
+            self.at.add(self.flat.add(ids) + np.cumsum(count) - count)
+            self.n.add(count)
+            self.lane.add(words.lane[first])
+            self.size.add(size[first])
+            more = np.maximum(size[first] - 8, 0)
+            self.rest.add(self.bytes.add(body[spans(more, start[first] + 8)]) + np.cumsum(more) - more)
+            number[fresh] = np.arange(self.index.used, self.index.used + len(fresh))
+            self.index.add(unique[fresh])
+        n = self.n.room[number].astype(np.int64)[each]
         total = np.concatenate([[0], np.cumsum(n)])
-        return self.flat[spans(n, at[each])], total[words.first]
+        return self.flat.room[spans(n, self.at.room[number][each])], total[words.first]
 
     def encode_column(self, column: pa.Array, end: int | None = None):
         """For slices of a text column (null: empty): (first row, ids, offsets of each row's ids).

@@ -3,16 +3,19 @@
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, which is the
 pattern ``[^\\x20\\x09-\\x0D]+`` on the decoded text, because those six
 separators are single bytes in UTF-8.  Every function works on a whole slice
-of documents at once; nothing loops over words in Python.
-
-Hashes are polynomials modulo 2**64 taken from prefix sums: with
-``S[j] = sum(b[i] * P**i for i < j)`` the hash of ``b[x:y]`` is
-``(S[y] - S[x]) * P**-x``; P is odd, so its inverse exists.  A 64-bit finaliser
-then mixes the value.
+of documents at once; nothing loops over words in Python, but for words over
+LONG bytes.
+
+A word's code chains its bytes, eight at a time, through a 64-bit mixer, so no
+family of inputs cancels out as it can in a polynomial modulo a power of two.
+Codes of runs of words join codes of halves by the same mixer.  Equality that
+must hold for certain is decided on bytes (``same_words``) or by BLAKE2b
+(``sequence_digests``).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,10 +25,11 @@ import pyarrow as pa
 U = np.uint64
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE = np.arange(1, 257, dtype=U)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-BYTE_BASE = 0x9E3779B97F4A7C15
-WORD_BASES = (0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+#: Words over so many bytes are hashed by BLAKE2b, one by one.
+LONG = 256
+#: Seeds of independent hashes of word runs.
+SEEDS = (0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+_JOIN, _LENGTH = U(0x9E3779B97F4A7C15), U(0xA0761D6478BD642F)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,46 +41,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _grow(base: int, start: np.ndarray, n: int) -> np.ndarray:
-    out = np.empty(n, dtype=U)
-    out[: len(start)] = start
-    have = len(start)
-    while have < n:
-        step = min(have, n - have)
-        out[have : have + step] = out[:step] * U(pow(base, have, 1 << 64))
-        have += step
-    return out
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n, kept between calls."""
-    up, down = _POWERS.get(base, (np.ones(1, dtype=U), np.ones(1, dtype=U)))
-    if len(up) < n:
-        n = 1 << (n - 1).bit_length()
-        up = _grow(base, up, n)
-        down = _grow(pow(base, -1, 1 << 64), down, n)
-        if n <= 1 << 22:
-            _POWERS[base] = up, down
-    return up, down
+def run_hashes(codes: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Hash of codes[i:i+k] for every i with a whole run, ignoring documents.
 
-
-def run_hashes(codes: np.ndarray, k: int, base: int) -> np.ndarray:
-    """Hash of codes[i:i+k] for every i with a whole run, ignoring documents."""
+    Hashes of 1, 2, 4, ... words are doubled; those of the powers of two that
+    make up ``k`` are joined in order.
+    """
     n = len(codes) - k + 1
     if n <= 0:
         return np.empty(0, dtype=U)
-    up, down = powers(base, len(codes))
-    sums = np.empty(len(codes) + 1, dtype=U)
-    sums[0] = 0
-    np.cumsum(codes * up[: len(codes)], out=sums[1:])
-    return mix((sums[k:] - sums[:n]) * down[:n])
+    level, span, out, at = mix(codes ^ U(seed)), 1, None, 0
+    while True:
+        if k & span:
+            part = level[at : at + n]
+            out, at = part if out is None else mix(out * _JOIN + part), at + span
+        span *= 2
+        if span > k:
+            return out
+        level = mix(level[: -span // 2] * _JOIN + level[span // 2 :])
 
 
 @dataclass
 class Words:
     """The words of some documents: document d owns words[first[d]:first[d+1]].
 
-    ``start`` and ``end`` are byte offsets into ``data``.
+    ``start`` and ``end`` are byte offsets into ``data``; ``lane`` has the first
+    eight bytes of each word as a number.
     """
 
     codes: np.ndarray
@@ -84,6 +74,7 @@ class Words:
     end: np.ndarray
     first: np.ndarray
     data: np.ndarray
+    lane: np.ndarray
 
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
@@ -113,7 +104,7 @@ def words_of(data: np.ndarray, at: np.ndarray, cut: np.ndarray | None = None, in
     n = len(body)
     if not n:
         none = np.empty(0, dtype=np.int64)
-        return Words(np.empty(0, dtype=U), none, none, np.zeros(len(at), dtype=np.int64), body)
+        return Words(np.empty(0, dtype=U), none, none, np.zeros(len(at), dtype=np.int64), body, np.empty(0, dtype=U))
     inside = ~_SEP[body] if inside is None else inside
     before = np.empty(n, dtype=bool)
     before[0] = False
@@ -130,13 +121,63 @@ def words_of(data: np.ndarray, at: np.ndarray, cut: np.ndarray | None = None, in
     if cut is not None:
         after[:-1] &= ~cut[1:]
     end = np.flatnonzero(inside & ~after) + 1
-    up, down = powers(BYTE_BASE, n)
-    sums = np.empty(n + 1, dtype=U)
-    sums[0] = 0
-    np.multiply(_BYTE[body], up[:n], out=sums[1:])
-    np.cumsum(sums[1:], out=sums[1:])
-    codes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U) * U(0xA0761D6478BD642F))
-    return Words(codes, start, end, np.searchsorted(start, edges), body)
+    codes, lane = word_codes(body, start, end)
+    return Words(codes, start, end, np.searchsorted(start, edges), body, lane)
+
+
+def eights(body: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of ``body`` on, as little-endian numbers; zeros follow the end."""
+    padded = np.concatenate([body, np.zeros(8, dtype=np.uint8)])
+    return np.ndarray((len(body),), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def _lane(view: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Up to eight bytes from ``at``, of which ``left`` belong to the word."""
+    return view[at] & (U(0xFFFFFFFFFFFFFFFF) >> (U(8) * (8 - np.minimum(left, 8)).astype(U)))
+
+
+def word_codes(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit codes of words, and their first eight bytes."""
+    view, size = eights(body), end - start
+    first = _lane(view, start, size)
+    codes = mix(first + size.astype(U) * _LENGTH)
+    todo, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(todo):
+        codes[todo] = mix(codes[todo] * _JOIN + _lane(view, start[todo] + at, size[todo] - at))
+        at += 8
+        todo = todo[size[todo] > at]
+    for i in np.flatnonzero(size > LONG).tolist():
+        codes[i] = U(int.from_bytes(hashlib.blake2b(body[start[i] : end[i]], digest_size=8).digest(), "little"))
+    return codes, first
+
+
+def same_words(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, size: np.ndarray, done: int = 0) -> np.ndarray:
+    """Whether size[i] bytes at at_a[i] of ``a`` and at at_b[i] of ``b`` are the same; the first ``done`` are taken to be."""
+    same = np.ones(len(size), dtype=bool)
+    todo = np.flatnonzero(size > done)
+    if len(todo):
+        left, right = eights(a), eights(b)
+    while len(todo):
+        own = _lane(left, at_a[todo] + done, size[todo] - done) == _lane(right, at_b[todo] + done, size[todo] - done)
+        same[todo[~own]] = False
+        done += 8
+        todo = todo[own & (size[todo] > done)]
+        if done > LONG:
+            for i in todo.tolist():
+                same[i] = a[at_a[i] + done : at_a[i] + size[i]].tobytes() == b[at_b[i] + done : at_b[i] + size[i]].tobytes()
+            break
+    return same
+
+
+def sequence_digests(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """BLAKE2b of every document's words joined by spaces, as two 64-bit numbers."""
+    body = words.data.tobytes()
+    n = np.diff(words.first)
+    lo, hi = words.start[words.first[:-1][n > 0]], words.end[words.first[1:][n > 0] - 1]
+    out = np.zeros((len(n), 2), dtype=U)
+    some = [hashlib.blake2b(b" ".join(body[a:b].split()), digest_size=16).digest() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+    out[n > 0] = np.frombuffer(b"".join(some), dtype="<u8").reshape(-1, 2)
+    return np.ascontiguousarray(out[:, 0]), np.ascontiguousarray(out[:, 1])
 
 
 def slices(at: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
