@@ -6,13 +6,15 @@ import hashlib
 import io
 import wave
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
 
+from .common import Work
+
 #: Stored rate, and the ratio UP / DOWN to the rate of the features.
 RATE, UP, DOWN, TAPS = 16_000, 5, 8, 16
 #: Samples of a frame and between frames, at the features' rate.
@@ -42,7 +44,7 @@ def _resampler() -> np.ndarray:
         t = np.arange(first, first + TAPS) - TAPS / 2 - where
         taps = cut * np.sinc(cut * t) * (0.5 + 0.5 * np.cos(np.pi * np.clip(2 * t / TAPS, -1, 1)))
         bank[first : first + TAPS, p] = taps / taps.sum()
-    return bank.astype(np.float32)
+    return bank
 
 
 def _mel_bank() -> np.ndarray:
@@ -51,11 +53,11 @@ def _mel_bank() -> np.ndarray:
     edges = 700 * (10 ** (np.linspace(mel(40.0), mel(FEATURE_RATE / 2), MELS + 2) / 2595) - 1)
     f = np.arange(FRAME // 2 + 1)[:, None] * FEATURE_RATE / FRAME
     up, down = (f - edges[:-2]) / (edges[1:-1] - edges[:-2]), (edges[2:] - f) / (edges[2:] - edges[1:-1])
-    return np.maximum(0, np.minimum(up, down)).astype(np.float32)
+    return np.maximum(0, np.minimum(up, down))
 
 
 RESAMPLER, MEL_BANK = _resampler(), _mel_bank()
-TAPER = np.hanning(FRAME + 1)[:-1].astype(np.float32)
+TAPER = np.hanning(FRAME + 1)[:-1]
 
 
 def payload_of(text: str | None) -> bytes:
@@ -102,14 +104,14 @@ def log_mel(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
         first = at * HOP * DOWN // UP
         blocks = -(-((n - 1) * HOP + FRAME) // UP)
         lo, hi = first - TAPS // 2, first + blocks * DOWN + TAPS // 2 + DOWN
-        x = np.zeros(hi - lo, dtype=np.float32)
+        x = np.zeros(hi - lo)
         inside = raw[max(lo, 0) : max(min(hi, len(raw)), 0)]
-        x[max(-lo, 0) : max(-lo, 0) + len(inside)] = (inside.astype(np.float32) - 128) / 128
+        x[max(-lo, 0) : max(-lo, 0) + len(inside)] = (inside.astype(np.float64) - 128) / 128
         y = resample(x, blocks)
         spans = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP][:n] * TAPER
         power = np.abs(np.fft.rfft(spans, axis=1)) ** 2
-        mels.append(np.log(power.astype(np.float32) @ MEL_BANK + FLOOR))
-        energy.append(10 * np.log10((spans.astype(np.float64) ** 2).mean(axis=1) + FLOOR))
+        mels.append(np.log(power @ MEL_BANK + FLOOR))
+        energy.append(10 * np.log10((spans**2).mean(axis=1) + FLOOR))
     return np.concatenate(mels), np.concatenate(energy)
 
 
@@ -149,52 +151,79 @@ def read_tensors(stream: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def feature_digest(tensors: np.ndarray, spans: np.ndarray, runs: np.ndarray) -> str:
-    """Counts, times and a digest of the tensors rounded to 0.01, so equal audio gives equal strings."""
+    """Counts, times and a digest of the tensors rounded to 0.01.
+
+    All arithmetic is in double precision, whose errors are far below that
+    step, so equal audio gives equal strings on any machine.
+    """
     rounded = np.rint(tensors.astype(np.float64) * 100).astype("<i2")
     body = hashlib.sha256(rounded.tobytes() + runs.astype("<i8").tobytes()).hexdigest()[:32]
     held = float((runs[:, 1] - runs[:, 0]).sum() * HOP / FEATURE_RATE)
     return f"tensors={len(tensors)};seconds={spans[-1, 1]:.4f};segments={len(runs)};held={held:.4f};mel={body}"
 
 
-FIELDS = [
-    ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
-    ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()),
-]
-REAL = [("media", pa.binary()), ("log_mel", pa.binary()), ("segments", pa.list_(pa.struct([("start_s", pa.float64()), ("stop_s", pa.float64())])))]
-
-
-def describe(text: str | None, real: bool) -> dict:
-    payload = payload_of(text)
-    media = store(payload)
-    back = load(media)
-    mels, energy = log_mel(back)
-    stream, runs = tensor_stream(mels), segments(energy)
-    tensors, spans = read_tensors(stream)
-    row = {
-        "n_bytes": len((text or "").encode("utf-8", "surrogatepass")), "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-BLOCK:]),
-        "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature_digest(tensors, spans, runs),
-    }
-    if real:
-        row |= {"media": media, "log_mel": stream, "segments": [{"start_s": a * HOP / FEATURE_RATE, "stop_s": (b * HOP + FRAME - HOP) / FEATURE_RATE} for a, b in runs.tolist()]}
-    return row
-
-
-def audio_features(docs: DataFrame, text: str = "text", key: str = "doc_id", real: bool = True) -> DataFrame:
-    """One row for each row of ``docs``: its text as audio, read back and described.
-
-    Returns doc_id, FIELDS and, if ``real``, REAL: the WAV file, the Arrow
-    stream of log-mel tensors with spans, and the loud segments.  A null or
-    empty text is 64 zero bytes; repeated rows and equal texts give equal
-    values; an empty table gives an empty result; other columns are ignored.
-    """
-    rows = docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text"))
-    fields = pa.schema([("doc_id", to_arrow_type(rows.schema["doc_id"].dataType)), *FIELDS, *(REAL if real else [])])
+def _rows(rows: DataFrame, fields: pa.Schema, describe: Callable[[tuple], dict]) -> DataFrame:
+    """A row of ``fields`` for each row, in batches of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out = [{"doc_id": k.as_py()} | describe(x.as_py(), real) for k, x in zip(part["doc_id"], part["text"], strict=True)]
+                out = [describe(x) for x in batch.slice(at, 256).to_pylist()]
                 yield pa.RecordBatch.from_pylist(out, schema=fields)
 
     return rows.mapInArrow(run, from_arrow_schema(fields))
+
+
+def recorded(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, n_bytes, media): every text as a WAV file.  A null text is an empty one, which has BLOCK zero bytes."""
+    rows = docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text"))
+    fields = pa.schema([("doc_id", to_arrow_type(rows.schema["doc_id"].dataType)), ("n_bytes", pa.int64()), ("media", pa.binary())])
+    return _rows(rows, fields, lambda x: {"doc_id": x["doc_id"], "n_bytes": len((x["text"] or "").encode("utf-8", "surrogatepass")), "media": store(payload_of(x["text"]))})
+
+
+def heard(media: DataFrame) -> DataFrame:
+    """Reads WAV files back: digests of payload and file, the Arrow stream of log-mel tensors with their spans, and the loud segments."""
+    fields = pa.schema([("doc_id", to_arrow_type(media.schema["doc_id"].dataType)), *HEARD, *TENSORS])
+
+    def describe(row: dict) -> dict:
+        back = load(row["media"])
+        mels, energy = log_mel(back)
+        return {
+            "doc_id": row["doc_id"], "n_bytes": row["n_bytes"], "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-BLOCK:]),
+            "media_bytes": len(row["media"]), "media_sha256": hashlib.sha256(row["media"]).hexdigest(), "log_mel": tensor_stream(mels),
+            "segments": [{"start": a, "stop": b, "start_s": a * HOP / FEATURE_RATE, "stop_s": (b * HOP + FRAME - HOP) / FEATURE_RATE} for a, b in segments(energy).tolist()],
+        }
+
+    return _rows(media, fields, describe)
+
+
+HEARD = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())]
+TENSORS = [("log_mel", pa.binary()), ("segments", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("start_s", pa.float64()), ("stop_s", pa.float64())])))]
+
+
+def summarised(features: DataFrame) -> DataFrame:
+    """Reads stored tensors and segments: the columns of ``heard`` with ``feature`` in place of them."""
+    fields = pa.schema([("doc_id", to_arrow_type(features.schema["doc_id"].dataType)), *HEARD, ("feature", pa.string())])
+
+    def describe(row: dict) -> dict:
+        tensors, spans = read_tensors(row.pop("log_mel"))
+        runs = np.array([(s["start"], s["stop"]) for s in row.pop("segments")], dtype=np.int64).reshape(-1, 2)
+        return row | {"feature": feature_digest(tensors, spans, runs)}
+
+    return _rows(features, fields, describe)
+
+
+def audio_features(docs: DataFrame, work: Work, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Media and feature columns of every text: (media, features, summary), a row each for each row of ``docs``.
+
+    ``media`` (doc_id, n_bytes, media) is a stored table of WAV files;
+    ``features`` (doc_id, HEARD, TENSORS) is a stored table of what was
+    computed from the files read back; ``summary`` (doc_id, HEARD, feature) is
+    read from that one.  A null or empty text is 64 zero bytes; long ones are
+    computed in pieces and never cut; repeated rows and equal texts give equal
+    values; a null key stays null; an empty table gives empty ones; other
+    columns are ignored.
+    """
+    media = work.table(recorded(docs, text, key), "media", compression="zstd")
+    features = work.table(heard(media), "features", compression="zstd")
+    return media, features, summarised(features)

@@ -40,10 +40,10 @@ class Work:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         self.made += 1
         path = f"{self.root}/{self.made}-{name}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         # Shuffle files of finished queries go when the driver's garbage is collected.
         gc.collect()
         self.spark._jvm.System.gc()
@@ -62,8 +62,8 @@ class Work:
 HOT_SHARE = 1000
 
 
-def with_class(rows: DataFrame, classes: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
-    """``rows`` joined with their class, whatever share of them one class holds.
+def with_class(rows: DataFrame, classes: DataFrame, on: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with their class, whatever share of them one class holds; ``how`` is inner or left.
 
     ``classes`` has one row for each value of ``on``, and in ``size`` the number
     of its rows, which are ``total`` at least in all.  Classes over a
@@ -72,7 +72,7 @@ def with_class(rows: DataFrame, classes: DataFrame, on: list[str], size: str, to
     """
     least = total // HOT_SHARE
     hot = F.broadcast(classes.where(F.col(size) > least))
-    cold = rows.join(hot.select(*on), on, "left_anti").join(classes.where(F.col(size) <= least), on)
+    cold = rows.join(hot.select(*on), on, "left_anti").join(classes.where(F.col(size) <= least), on, how)
     return rows.join(hot, on).unionByName(cold)
 
 

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,13 +28,15 @@ from pyspark.sql import functions as F
 from .common import Work
 from .tokens import encoder
 
-MAGIC = b"LOOMIDS1"
+MAGIC = b"LOOMIDS2"
 #: Ids of a block, and blocks of a segment (the unit that is coded in one go).
 BLOCK, LANES = 2048, 2048
 #: log2 of the total of the trust weights, and of the slots of the two context tables.
 MIX, SLOTS1, SLOTS2 = 12, 9, 10
 #: Trust moves by 2**-RATE of the way towards each outcome.
 RATE = 5
+#: The name of a file in its path.
+NAME = "part-[0-9]+-[0-9]+[.]ids"
 U64, U32 = np.uint64, np.uint32
 _WORD, _LOW = U64(32), U64(0xFFFFFFFF)
 
@@ -179,10 +182,11 @@ def _packed(values: np.ndarray) -> bytes:
     return struct.pack("<I", len(body)) + body
 
 
-def encode_segment(keys: np.ndarray, n_tokens: np.ndarray, ids: np.ndarray) -> bytes:
-    """One segment: keys and token counts of its documents, and their ids, at most BLOCK * LANES for one lane set."""
+def encode_segment(keys: np.ndarray, n_tokens: np.ndarray, ids: np.ndarray, null: np.ndarray | None = None) -> bytes:
+    """One segment: keys (``null``: those that are null) and token counts of its documents, and their ids, at most BLOCK * LANES for one lane set."""
     n_blocks = -(-len(ids) // BLOCK)
-    head = MAGIC + struct.pack("<QQII", len(keys), len(ids), BLOCK, n_blocks) + _packed(keys.astype("<i8")) + _packed(n_tokens.astype("<u4"))
+    null = np.zeros(len(keys), dtype=bool) if null is None else null
+    head = MAGIC + struct.pack("<QQII", len(keys), len(ids), BLOCK, n_blocks) + _packed(keys.astype("<i8")) + _packed(np.packbits(null)) + _packed(n_tokens.astype("<u4"))
     if not n_blocks:
         return head
     padded = np.append(ids, np.full(n_blocks * BLOCK - len(ids), ids[-1], dtype=U32)).astype(U32)
@@ -195,8 +199,8 @@ def encode_segment(keys: np.ndarray, n_tokens: np.ndarray, ids: np.ndarray) -> b
     return head + table + _packed(n_words.astype("<u4")) + crc.tobytes() + words.astype("<u4").tobytes()
 
 
-def decode_segment(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, token counts and ids of a segment; a block that fails its checksum raises."""
+def decode_segment(body: bytes) -> tuple[np.ma.MaskedArray, np.ndarray, np.ndarray]:
+    """Keys (null ones masked), token counts and ids of a segment; a block that fails its checksum raises."""
     if body[:8] != MAGIC:
         raise ValueError("not a token-id segment")
     n_keys, n_ids, block, n_blocks = struct.unpack_from("<QQII", body, 8)
@@ -208,9 +212,10 @@ def decode_segment(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at += 4 + n
         return np.frombuffer(zlib.decompress(body[at - n : at]), dtype=kind)
 
-    keys, n_tokens = packed("<i8"), packed("<u4").astype(np.int64)
+    keys, null, n_tokens = packed("<i8"), packed("u1"), packed("<u4").astype(np.int64)
     if len(keys) != n_keys:
         raise ValueError("broken header")
+    keys = np.ma.array(keys, mask=np.unpackbits(null, count=len(keys)).astype(bool))
     if not n_blocks:
         return keys, n_tokens, np.empty(0, dtype=U32)
     (bits,) = struct.unpack_from("<I", body, at)
@@ -227,30 +232,40 @@ def decode_segment(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def write_ids(docs: DataFrame, work: Work, tokenizer: str, end: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Encodes every text and stores the ids in ascending key order: (part, seq, n_docs, n_ids, body).
-
-    Each row is one self-contained segment file.  Rows go through Spark's own
-    writer, whose commit makes retried tasks harmless and which reaches any
-    store; ``export`` copies them to plain files.  Segments are cut between
-    documents once BLOCK * LANES ids are there; a longer document has a
-    segment of its own, with as many lanes as it needs.  Null keys are not
-    stored; a null text has just the end id.
+    """Encodes every text into files of ids, in ascending key order: (file, part, seq, n_docs, n_ids) of each file.
+
+    A file part-PPPPPP-SSSSSS.ids is one self-contained segment.  Tasks write
+    them to a folder of their own in the shared folder, under another name
+    first, which a rename completes; a task that runs again writes the same
+    bytes over.  Segments are cut between documents once BLOCK * LANES ids are
+    there; a longer document has a segment of its own, with as many lanes as it
+    needs.  Null keys come first.  A null text has just the end id; repeated
+    rows are all stored; an empty table gives no file; other columns are
+    ignored.
     """
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    folder = f"{work.root}/files"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        keys, counts, held, n = [], [], [], 0
+        task = TaskContext.get()
+        enc, part, seq = encoder(tokenizer), task.partitionId(), 0
+        store, root = FileSystem.from_uri(folder)
+        store.create_dir(root)
+        keys, nulls, counts, held, n = [], [], [], [], 0
 
         def segment() -> pa.RecordBatch:
             own, per, ids = np.concatenate(keys), np.concatenate(counts), np.concatenate(held)
-            body = encode_segment(own, per, ids)
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": [len(own)], "n_ids": [len(ids)], "body": pa.array([body], pa.large_binary()).cast(pa.binary())})
+            name = f"part-{part:06d}-{seq:06d}.ids"
+            with store.open_output_stream(f"{root}/_{name}-{task.taskAttemptId()}") as f:
+                f.write(encode_segment(own, per, ids, np.concatenate(nulls)))
+            store.move(f"{root}/_{name}-{task.taskAttemptId()}", f"{root}/{name}")
+            return pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": [len(own)], "n_ids": [len(ids)]})
 
         for batch in batches:
-            ids_of = batch["doc_id"].to_numpy()
+            null = batch["doc_id"].is_null().to_numpy(zero_copy_only=False)
+            ids_of = batch["doc_id"].fill_null(0).to_numpy()
             for first, ids, at in enc.encode_column(batch["text"], end):
                 lo, rows = 0, len(at) - 1
                 while lo < rows:
@@ -259,29 +274,40 @@ def write_ids(docs: DataFrame, work: Work, tokenizer: str, end: int = 2, text: s
                     if hi <= lo and n:  # the next document begins a segment
                         yield segment()
                         seq, n = seq + 1, 0
-                        keys, counts, held = [], [], []
+                        keys, nulls, counts, held = [], [], [], []
                         continue
                     hi = max(lo + 1, hi)
                     keys.append(ids_of[first + lo : first + hi])
+                    nulls.append(null[first + lo : first + hi])
                     counts.append(np.diff(at[lo : hi + 1]))
                     held.append(ids[at[lo] : at[hi]])
                     n, lo = n + int(at[hi] - at[lo]), hi
         if keys:
             yield segment()
 
-    return work.table(rows.mapInArrow(encode, "part int, seq int, n_docs long, n_ids long, body binary"), "ids")
+    return work.table(rows.mapInArrow(encode, "file string, part int, seq int, n_docs long, n_ids long"), "ids")
 
 
 def read_ids(files: DataFrame, ids: bool = False) -> DataFrame:
-    """Decodes segment files: doc_id, start, n_tokens, ids_crc32 (and ids) of each document.
+    """Reads files of ``write_ids`` and decodes them: doc_id, start, n_tokens, ids_crc32 (and ids) of each document.
 
-    ``start`` counts the ids of all documents before, from the segments' own
-    counts; ordering segments is the only global step, a row for each.
+    ``start`` counts the ids of all documents before, from the files' own
+    counts: parts are summed first, then files inside a part.  No file gives an
+    empty result.
     """
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("part", "seq", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("before"))
-    rows = files.select("part", "seq", "body").join(starts, ["part", "seq"])
+    spark = files.sparkSession
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    parts = parts.select("part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("earlier"))
+    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("file", "part", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("before")).join(parts, "part")
+    starts = starts.select(F.regexp_extract("file", NAME, 0).alias("name"), (F.col("before") + F.col("earlier")).alias("before"))
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if ids else "")
+    some = files.select("file").first()
+    if not some:
+        return spark.createDataFrame([], schema)
+    bodies = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.ids").load(some["file"].rpartition("/")[0])
+    rows = bodies.select(F.regexp_extract("path", NAME, 0).alias("name"), F.col("content").alias("body")).join(starts, "name").select("body", "before")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,7 +316,7 @@ def read_ids(files: DataFrame, ids: bool = False) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum(n)])
                 plain = memoryview(flat.tobytes())
                 crc = [zlib.crc32(plain[a:b]) for a, b in zip((4 * at[:-1]).tolist(), (4 * at[1:]).tolist(), strict=True)]
-                columns = [pa.array(keys.astype(np.int64)), pa.array(before + at[:-1]), pa.array(n), pa.array(crc, pa.int64())]
+                columns = [pa.array(keys.data.astype(np.int64), mask=keys.mask), pa.array(before + at[:-1]), pa.array(n), pa.array(crc, pa.int64())]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 if ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.astype(np.int32))))
@@ -298,14 +324,3 @@ def read_ids(files: DataFrame, ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return rows.mapInArrow(decode, schema)
-
-
-def export(files: DataFrame, folder: str) -> int:
-    """Copies segments to plain files part-PPPPP-SSSSS.ids in a local folder, one at a time."""
-    from pathlib import Path
-
-    n = 0
-    for row in files.orderBy("part", "seq").toLocalIterator():
-        Path(folder, f"part-{row['part']:05d}-{row['seq']:05d}.ids").write_bytes(row["body"])
-        n += 1
-    return n

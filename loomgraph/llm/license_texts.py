@@ -28,22 +28,68 @@ _BSD_END = (
     "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
     "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
-_MIT = (
+_MIT_GRANT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
     '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
-    "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
-    "following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
-    'Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
-    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, "
+    "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
+)
+_MIT_END = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS{holders} BE LIABLE FOR ANY CLAIM, "
     "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE "
     "OR OTHER DEALINGS IN THE SOFTWARE."
 )
+_MIT_CONDITION = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_HOLDERS = " OR COPYRIGHT HOLDERS"
+_MIT = f"{_MIT_GRANT}, subject to the following conditions:\n\n{_MIT_CONDITION}\n\n{_MIT_END.format(holders=_HOLDERS)}"
+_MIT_0 = f"{_MIT_GRANT}.\n\n{_MIT_END.format(holders=_HOLDERS)}"
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising "
+    "from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+    "alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must "
+    "not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be "
+    "appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original "
+    "software.\n3. This notice may not be removed or altered from any source distribution."
+)
+_BSL = (
+    "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization obtaining a "
+    'copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and '
+    "transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all "
+    "subject to the following:\n\nThe copyright notices in the Software and this entire statement, including the above license grant, this restriction and "
+    "the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such "
+    "copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n\nTHE SOFTWARE IS "
+    'PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A '
+    "PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES "
+    "OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN "
+    "THE SOFTWARE."
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute "
+    "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions "
+    "that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We "
+    "make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt "
+    "act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\n"
+    + _MIT_END.format(holders="") + "\n\nFor more information, please refer to <https://unlicense.org>"
+)
+_APACHE_HEADER = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy '
+    "of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under "
+    'the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific '
+    "language governing permissions and limitations under the License."
+)
 
 #: (licence id, text): whole licences, then short notices that stand for one.
 KNOWN = [
     ("MIT", _MIT),
     ("MIT", "MIT License\n\n" + _MIT),
+    ("MIT-0", _MIT_0),
+    ("MIT-0", "MIT No Attribution\n\n" + _MIT_0),
+    ("Zlib", _ZLIB),
+    ("BSL-1.0", _BSL),
+    ("Unlicense", _UNLICENSE),
+    ("Apache-2.0", _APACHE_HEADER),
     ("ISC", f"{_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{_ISC_END}"),
+    ("ISC", f"ISC License\n\n{_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{_ISC_END}"),
     ("0BSD", f"{_GRANT}.\n\n{_ISC_END}"),
     ("BSD-2-Clause", _BSD_START + _BSD_CONDITIONS + _BSD_END),
     ("BSD-3-Clause", _BSD_START + _BSD_CONDITIONS + _BSD_THIRD + _BSD_END),

@@ -21,17 +21,23 @@ SQL_COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved
 #: ASCII other than lower-case letters and digits, and common typographic marks.
 _MARKS = r"\x00-\x2f\x3a-\x60\x7b-\x7f\x{a0}\x{ab}\x{bb}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{3000}"
 PUNCTUATION = f"[{_MARKS}]+"
-#: Known texts up to this number are broadcast; more are joined by shuffle.
-BROADCAST_TEXTS = 50_000
+#: Digest tables up to this size are broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def canonical(text: Column) -> Column:
     """Lower case, no copyright lines, words apart by one space, one spelling of equivalents."""
     out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "\n")
     out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, PUNCTUATION, " ")), F.lit(" "))
-    for found, written in EQUIVALENT:
-        out = F.replace(out, F.lit(f" {found} "), F.lit(f" {written} "))
-    return F.trim(out)
+    # With two spaces in each gap, neighbours share none, so all of them are replaced.
+    out = F.replace(out, F.lit(" "), F.lit("  "))
+    for found, written in _spaced():
+        out = F.replace(out, F.lit(found), F.lit(written))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
+
+
+def _spaced() -> list[tuple[str, str]]:
+    return [tuple(f" {x.replace(' ', '  ')} " for x in pair) for pair in EQUIVALENT]
 
 
 def digest(text: Column) -> Column:
@@ -66,10 +72,12 @@ def scan(docs: DataFrame, known: DataFrame, text: str = "text", key: str = "doc_
     has no notices; repeated rows each get an answer; an empty table gives an
     empty result; other columns are ignored.  No text is shuffled: a line is
     digested where it is read, if it opens with a word that some known text
-    opens with (no other line can be equal to one), and only hits travel.
+    opens with (no other line can be equal to one), and only hits travel.  Very
+    long texts are read whole, line by line.
     """
     empty = F.sha2(F.lit(""), 256)
-    small = F.broadcast if known.count() <= BROADCAST_TEXTS else lambda df: df
+    size = known.agg(F.sum(F.length("license_id") + 100)).first()[0] or 0  # a digest has 64 bytes
+    small = F.broadcast if size <= BROADCAST_BYTES else lambda df: df
     texts = known.select("license_id", canonical(F.col("text")).alias("canonical")).where(F.col("canonical") != "")
     table = texts.select("license_id", F.sha2("canonical", 256).alias("digest")).groupBy("digest").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("license"))
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
@@ -86,10 +94,10 @@ def sql() -> str:
 
     def canon(x: str) -> str:
         out = f"regexp_replace(lower(coalesce({x}, '')), '{SQL_COPYRIGHT_LINE}', chr(10), 'g')"
-        out = f"' ' || trim(regexp_replace({out}, '{PUNCTUATION}', ' ', 'g')) || ' '"
-        for found, written in EQUIVALENT:
-            out = f"replace({out}, ' {found} ', ' {written} ')"
-        return f"sha256(trim({out}))"
+        out = f"replace(' ' || trim(regexp_replace({out}, '{PUNCTUATION}', ' ', 'g')) || ' ', ' ', '  ')"
+        for found, written in _spaced():
+            out = f"replace({out}, '{found}', '{written}')"
+        return f"sha256(trim(replace({out}, '  ', ' ')))"
 
     rows = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in KNOWN)
     return f"""

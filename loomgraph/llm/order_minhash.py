@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .align import similarity
-from .common import Work, components
+from .common import Work, components, with_class
 from .wordhash import SEEDS, U, Words, buffers, mix, run_hashes, sequence_digests, slices, words_of
 
 #: Words of a k-mer, least similarity of a link, k-mers kept by a sketch.
@@ -23,6 +23,8 @@ SMALL = 8
 HUBS = 3
 #: Members of a larger bucket that meet as one block, on average at most, and cells of a text's word histogram.
 BLOCK, CELLS = 512, 256
+#: Pairs of two classes that two blocks align in the first round, and by how much that grows each round.
+FIRST, MORE = 4, 16
 #: Partners of a hub that one task aligns, on average at most.
 PARTNERS = 2000
 
@@ -95,7 +97,7 @@ def least_edits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (d1, d2) and number of its words, band keys (none without words) and word histogram."""
+    """doc_id and x (which name a text), digest (d1, d2) and number of its words, band keys (none without words) and word histogram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,75 +114,94 @@ def sketches(docs: DataFrame) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum((n > 0) * BANDS)]).astype(np.int32)
                 flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(a, b - a), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([c.tobytes() for c in histograms(words)], pa.binary())],
-                    names=["doc_id", "d1", "d2", "n_words", "bands", "cells"],
+                    [batch["doc_id"].slice(a, b - a), batch["x"].slice(a, b - a), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([c.tobytes() for c in histograms(words)], pa.binary())],
+                    names=["doc_id", "x", "d1", "d2", "n_words", "bands", "cells"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, d1 long, d2 long, n_words long, bands array<long>, cells binary")
+    return docs.mapInArrow(run, "doc_id long, x long, d1 long, d2 long, n_words long, bands array<long>, cells binary")
 
 
 def candidates(texts: DataFrame, work: Work) -> tuple[DataFrame, DataFrame]:
-    """First pairs a < b of (rep, n_words, bands) rows that share a band key and have lengths that allow a link, and the crowded buckets.
+    """First pairs a < b of (node, n_words, bands) rows that share a band key and have lengths that allow a link, and the crowded buckets.
 
     Buckets of up to SMALL rows give all pairs.  Larger ones give each row's
     pairs with HUBS hubs, the smallest ids of hash groups, which differ from
     bucket to bucket; their other pairs are left to ``rest``, for which their
-    rows are returned as (key, rep).
+    rows are returned as (key, node).
     """
-    posted = work.table(texts.select("rep", "n_words", F.explode("bands").alias("key")), "posted")
-    group = F.pmod(F.xxhash64("rep", "key"), F.lit(HUBS))
-    one = F.struct("rep", "n_words")
+    posted = work.table(texts.select("node", "n_words", F.explode("bands").alias("key")), "posted")
+    group = F.pmod(F.xxhash64("node", "key"), F.lit(HUBS))
+    one = F.struct("node", "n_words")
     hubs = [F.min(F.when(group == h, one)) for h in range(HUBS)]
     buckets = work.table(posted.groupBy("key").agg(F.count("*").alias("n"), F.array(*hubs).alias("hubs")).where("n > 1"), "buckets")
     members = posted.join(buckets, "key")
     small = members.where(F.col("n").between(3, SMALL)).groupBy("key").agg(F.collect_list(one).alias("all"))
     by_hub = members.where((F.col("n") == 2) | (F.col("n") > SMALL)).select(one.alias("x"), F.explode("hubs").alias("y"))
     by_pair = small.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y"))
-    pairs = by_hub.union(by_pair).where(F.col("y").isNotNull() & (F.col("x.rep") != F.col("y.rep")))
+    pairs = by_hub.union(by_pair).where(F.col("y").isNotNull() & (F.col("x.node") != F.col("y.node")))
     fits = F.least("x.n_words", "y.n_words") >= F.lit(LEAST) * F.greatest("x.n_words", "y.n_words") - 1e-9
-    out = work.table(pairs.where(fits).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct(), "pairs")
-    crowded = work.table(members.where(F.col("n") > SMALL).select("key", "rep"), "crowded")
+    out = work.table(pairs.where(fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
+    crowded = work.table(members.where(F.col("n") > SMALL).select("key", "node"), "crowded")
     work.drop(posted, buckets)
     return out, crowded
 
 
-def rest(texts: DataFrame, crowded: DataFrame, labels: DataFrame, done: DataFrame, work: Work) -> DataFrame:
-    """The pairs a < b inside crowded buckets that are neither in one class nor among ``done`` and that histograms don't rule out.
+def rest(texts: DataFrame, crowded: DataFrame, labels: DataFrame, done: DataFrame, work: Work, most: int) -> tuple[DataFrame, bool]:
+    """Pairs a < b inside crowded buckets that are neither in one class nor among ``done`` and that histograms don't rule out; and whether that is all.
 
-    A bucket of several classes is cut into blocks by a hash of the id, and
+    A bucket of several classes is cut into blocks by a hash of the node, and
     every two blocks meet in a group of bounded size, so all pairs are looked
-    at, whatever the size of the bucket.
+    at, whatever the size of the bucket.  Where two blocks hold over ``most``
+    such pairs of the same two classes, those with the fewest edits by their
+    histograms come first; one link of them makes all others needless.
     """
-    own = work.table(crowded.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("label")), "own")
+    own = work.table(crowded.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("label", "node").alias("label")), "own")
     split = own.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    rows = own.join(split, "key").join(texts.select("rep", "n_words", "cells"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    rows = own.join(split, "key").join(texts.select("node", "n_words", "cells"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "label", "n_words", "cells")
+    dealt = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label", "n_words", "cells")
 
     def compare(group: pa.Table) -> pa.Table:
-        rep, label, n, block = (group[c].to_numpy() for c in ("rep", "label", "n_words", "block"))
-        cells = np.frombuffer(b"".join(group["cells"].to_pylist()), dtype=np.uint8).reshape(len(rep), CELLS)
+        group = group.sort_by("node")
+        node, label, n, block = (group[c].to_numpy() for c in ("node", "label", "n_words", "block"))
+        cells = np.frombuffer(b"".join(group["cells"].to_pylist()), dtype=np.uint8).reshape(len(node), CELLS)
         lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
         x, y = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
         shorter, longer = np.minimum(n[x][:, None], n[y][None, :]), np.maximum(n[x][:, None], n[y][None, :])
         open_ = (label[x][:, None] != label[y][None, :]) & (shorter >= LEAST * longer - 1e-9)
         if lo == hi:
-            open_ &= rep[x][:, None] < rep[y][None, :]
-        if open_.any():
-            open_ &= least_edits(cells[x], cells[y]) <= ((1 - LEAST) * longer + 1e-9).astype(np.int64)
+            open_ &= node[x][:, None] < node[y][None, :]
+        if not open_.any():
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "more": pa.array([], pa.bool_())})
+        edits = least_edits(cells[x], cells[y])
+        open_ &= edits <= ((1 - LEAST) * longer + 1e-9).astype(np.int64)
         i, j = np.nonzero(open_)
-        p, q = rep[x[i]], rep[y[j]]
-        return pa.table({"a": np.minimum(p, q), "b": np.maximum(p, q)})
-
-    found = dealt.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
-    out = work.table(found.join(done, ["a", "b"], "left_anti"), "rest")
-    work.drop(own)
-    return out
-
-
-def verified(pairs: DataFrame, docs: DataFrame, work: Work, least: float = LEAST) -> DataFrame:
+        p, q = label[x[i]], label[y[j]]
+        p, q = np.minimum(p, q), np.maximum(p, q)
+        order = np.lexsort((j, i, edits[i, j] / longer[i, j], q, p))
+        i, j, p, q = i[order], j[order], p[order], q[order]
+        new = np.ones(len(i), dtype=bool)
+        new[1:] = (np.diff(p) != 0) | (np.diff(q) != 0)
+        at = np.arange(len(i))
+        nth = at - np.maximum.accumulate(np.where(new, at, 0))
+        i, j, nth = i[nth <= most], j[nth <= most], nth[nth <= most]
+        kept = nth < most
+        p, q = node[x[i[kept]]], node[y[j[kept]]]
+        return pa.table({"a": np.minimum(p, q), "b": np.maximum(p, q), "more": np.full(len(p), not kept.all())})
+
+    found = dealt.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    found = work.table(found, "found")
+    out = work.table(found.select("a", "b").join(done, ["a", "b"], "left_anti"), "rest")
+    partial = not found.where("more").isEmpty()
+    work.drop(own, found)
+    return out, partial
+
+
+def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The pairs whose alignment similarity, 1 - edit distance in words / longer length, is ``least`` or more: (a, b, similarity).
 
+    ``texts`` is (node, rep, x): which text a node stands for; ``docs`` is (doc_id, x, text).
+
     Both texts of a pair meet in a task that is picked by the smaller id and a
     hash of the other one, so a text with very many partners is spread out.
     """
@@ -188,7 +209,8 @@ def verified(pairs: DataFrame, docs: DataFrame, work: Work, least: float = LEAST
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(groups)).cast("int").alias("grp"))
     needed = dealt.select(F.col("b").alias("id"), "a", "grp").union(dealt.select(F.col("a").alias("id"), "a", "grp").distinct())
     # Neither side has a size bound, so both are shuffled at every size; AQE splits skewed parts.
-    rows = needed.hint("merge").join(docs.select(F.col("doc_id").alias("id"), "text"), "id").select("a", "grp", "id", "text")
+    named = needed.hint("merge").join(texts.select(F.col("node").alias("id"), F.col("rep").alias("doc_id"), "x"), "id")
+    rows = named.hint("merge").join(docs, ["doc_id", "x"]).select("a", "grp", "id", "text")
     rows = rows.repartition("a", "grp").sortWithinPartitions("a", "grp", "id")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,32 +229,59 @@ def verified(pairs: DataFrame, docs: DataFrame, work: Work, least: float = LEAST
     return rows.mapInArrow(align, "a long, b long, similarity double")
 
 
+def nodes(copies: DataFrame, work: Work) -> tuple[DataFrame, bool]:
+    """Texts that have an id, with a number each, ``node``; and whether some id has several.
+
+    A node is the text's least id.  Where an id has several texts, one keeps
+    it and the others get numbers above all ids.
+    """
+    texts = copies.where("rep IS NOT NULL")
+    several = work.table(texts.groupBy("rep").agg(F.count("*").alias("n"), F.min(F.struct("d1", "d2")).alias("least")).where("n > 1"), "several")
+    if several.isEmpty():
+        return texts.withColumn("node", F.col("rep")), False
+    top, total = texts.agg(F.max("rep")).first()[0], several.agg(F.sum("n")).first()[0]
+    own = F.col("least").isNull() | (F.col("least") == F.struct("d1", "d2"))
+    more = with_class(texts, several, ["rep"], "n", total, "left").withColumn("node", F.when(own, F.col("rep")).otherwise(F.lit(top) + 1 + F.monotonically_increasing_id()))
+    return work.table(more.drop("least", "n"), "nodes"), True
+
+
 def near_duplicates(docs: DataFrame, work: Work, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The class of every document: (doc_id, copy_of, class_id).
+    """The class of every document: (doc_id, x, copy_of, class_id); x is a hash of the text.
 
     ``copy_of`` is the smallest id with the same word sequence, ``class_id``
     the smallest id that links lead to.  Two different texts are linked if
     they share a band of Order MinHash sketches over five-word k-mers and
     align with similarity 0.8 or more.  Any two texts of one band are aligned
     unless links of others have put them into one class, or their lengths or
-    words rule that similarity out.
-
-    Every row of ``docs`` has a row; rows of one id repeat.  A null text, an
-    empty one and one of white space are a class of their own.  A null id has
-    the class of its text.  Shorter texts than a k-mer are linked to equal
+    words rule that similarity out: buckets of up to SMALL texts at once,
+    larger ones through hubs first and then in rounds, each of which takes
+    MORE times as many pairs of two classes, until none is left.
+
+    Every row of ``docs`` has a row; rows of one id repeat, and several texts
+    of one id are texts of their own.  A null text, an empty one and one of
+    white space are a class of their own.  A null id has the class of its text,
+    null if no id has that text.  Shorter texts than a k-mer are linked to equal
     word sequences only.  An empty table gives an empty result.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("x"), F.col(text).cast("string").alias("text"))
     found = work.table(sketches(rows), "sketches")
-    copies = work.table(found.where("n_words > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands"), F.first("cells").alias("cells")), "texts")
-    texts, named = copies.where("rep IS NOT NULL"), rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    pairs, crowded = candidates(texts, work)
-    links = work.table(verified(pairs, named, work).select("a", "b").distinct(), "links")
-    labels = components(work, links)
-    left = rest(texts, crowded, labels, pairs, work)
-    if not left.isEmpty():
-        links = work.table(links.union(verified(left, named, work).select("a", "b")).distinct(), "links")
-        labels = components(work, links)
-    classes = copies.select("d1", "d2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("d1", "d2", "rep", F.coalesce("label", "rep").alias("label"))
+    one = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "x"))).alias("one")
+    copies = found.where("n_words > 0").groupBy("d1", "d2").agg(one, *[F.first(c).alias(c) for c in ("n_words", "bands", "cells")])
+    copies = work.table(copies.select("d1", "d2", F.col("one.doc_id").alias("rep"), "one.x", "n_words", "bands", "cells"), "texts")
+    (texts, several), named = nodes(copies, work), rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    done, crowded = candidates(texts, work)
+    links = work.table(verified(done, texts, named).select("a", "b").distinct(), "links")
+    labels, most, partial = components(work, links), FIRST, True
+    while partial:
+        left, partial = rest(texts, crowded, labels, done, work, most)
+        if not left.isEmpty():
+            links = work.table(links.union(verified(left, texts, named).select("a", "b")).distinct(), "links")
+            labels, done = components(work, links), work.table(done.union(left), "done")
+        most *= MORE
+    classes = texts.select("d1", "d2", "rep", "node").join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("d1", "d2", "rep", F.coalesce("label", "node").alias("label"))
+    if several:  # labels may be numbers above all ids
+        classes = work.table(classes, "classes")
+        least = classes.groupBy("label").agg(F.min("rep").alias("least"), F.count("*").alias("n"))
+        classes = with_class(classes, least, ["label"], "n", classes.count()).select("d1", "d2", "rep", F.col("least").alias("label"))
     own = F.col("n_words") == 0
-    return found.join(classes, ["d1", "d2"], "left").select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("rep")).alias("copy_of"), F.when(own, F.col("doc_id")).otherwise(F.col("label")).alias("class_id"))
+    return found.join(classes, ["d1", "d2"], "left").select("doc_id", "x", F.when(own, F.col("doc_id")).otherwise(F.col("rep")).alias("copy_of"), F.when(own, F.col("doc_id")).otherwise(F.col("label")).alias("class_id"))

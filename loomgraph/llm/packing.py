@@ -27,7 +27,9 @@ def pieces(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int = CAPACI
     """Token pieces of every document: doc_id, start, length, ids_crc32, doc_tokens (and ids).
 
     A document is cut every ``capacity`` tokens, so only its last piece is
-    shorter.  A null text has just the end id.
+    shorter; there is no limit to its length.  A null or empty text has just
+    the end id; a null key stays null; repeated rows give their pieces each; an
+    empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     fields = [("doc_id", to_arrow_type(rows.schema["doc_id"].dataType)), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())]
@@ -190,8 +192,10 @@ def pack(parts: DataFrame, work: Work, capacity: int = CAPACITY, step: int = STE
     plan_rows = spark.createDataFrame(table, "class int, lo long, hi long, per long, first long")
     earlier = Window.partitionBy("class").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("class", "grp", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("class", "grp").orderBy("doc_id", "start")
-    ranked = ranked.withColumn("nth", F.row_number().over(inside) - 1).join(offsets, ["class", "grp"]).withColumn("rank", F.col("before") + F.col("nth"))
+    # Pieces that tie here are equal in all that packing looks at, so any order of them is the same packing.
+    inside = Window.partitionBy("class", "grp").orderBy("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+    ranked = work.table(ranked.withColumn("nth", F.row_number().over(inside) - 1), "ranked")  # a task that runs again doesn't rank anew
+    ranked = ranked.join(offsets, ["class", "grp"]).withColumn("rank", F.col("before") + F.col("nth"))
     # The slot table has at most a few thousand rows, whatever the input.
     placed = ranked.alias("r").join(F.broadcast(plan_rows).alias("p"), (F.col("r.class") == F.col("p.class")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     placed = placed.withColumn("sequence_id", F.col("first") + F.floor((F.col("rank") - F.col("lo")) / F.col("per")))

@@ -78,47 +78,49 @@ def search(vectors: DataFrame, is_query: Column, work: Work, k: int = 10, rerank
     falls behind that share.  Ties go to the smaller id.
 
     Null ids, and vectors that are null, zero or hold null or non-finite
-    components take no part, nor do vectors of another dimension than the
-    first pivot.  Rows of one id count once (the least vector by value).  With
-    fewer than k candidates all are returned; empty input gives an empty
-    result.
+    components take no part.  Vectors of another dimension have no distance
+    from a query, so each dimension is an index of its own.  Rows of one id
+    count once (the least vector by value).  With fewer than k candidates all
+    are returned; empty input gives an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.where(usable(F.col(column)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), is_query.alias("is_query"), F.col(column).cast("array<double>").alias("v"))
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("is_query").alias("is_query"))
-    sample = rows.orderBy(F.xxhash64("vec_id", F.lit("pivot")), "vec_id").limit(PIVOTS).select("v").collect()
+    rows = work.table(rows.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("is_query").alias("is_query")).withColumn("width", F.size("v")), "vectors")
+    drawn = Window.partitionBy("width").orderBy(F.xxhash64("vec_id", F.lit("pivot")), "vec_id")
+    sample = rows.select("width", "v", F.row_number().over(drawn).alias("nth")).where(F.col("nth") <= PIVOTS).collect()  # PIVOTS for each dimension
     out = "query_id long, vec_id long, score double"
     if not sample:
         return spark.createDataFrame([], out.replace("vec_id", "rank int, vec_id"))
-    width = len(sample[0]["v"])
-    pivots = np.unique(np.array([r["v"] for r in sample if len(r["v"]) == width]), axis=0)
-    shared, n_pivots = spark.sparkContext.broadcast(pivots), len(pivots)
-    rows = rows.where(F.size("v") == width)
+    pivots = {w: np.unique(np.array([r["v"] for r in sample if r["width"] == w]), axis=0) for w in {r["width"] for r in sample}}
+    shared = spark.sparkContext.broadcast(pivots)
 
     def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                order = nearest_pivots(matrix(pa.chunked_array([batch["v"]])), shared.value)
-                yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["v"], batch["is_query"], pa.array([r.tobytes() for r in order], pa.binary())], names=["vec_id", "v", "is_query", "pivots"])
-
-    index = work.table(rows.mapInArrow(permute, "vec_id long, v array<double>, is_query boolean, pivots binary"), "index")
-    n, n_queries = index.agg(F.count("*"), F.count_if("is_query")).first()
-    blocks, groups = max(1, -(-n // BLOCK)), max(1, -(-n_queries // QUERIES))
-    place = lambda name, parts: F.pmod(F.xxhash64("vec_id", F.lit(name)), F.lit(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    data = index.select("vec_id", "v", "pivots", place("block", blocks).alias("block"), every(groups).alias("grp"))
-    asked = index.where("is_query").select("vec_id", "v", "pivots", place("group", groups).alias("grp"), every(blocks).alias("block"))
+            for width in np.unique(batch["width"].to_numpy()).tolist():
+                part = batch.filter(pa.array(batch["width"].to_numpy() == width))
+                order = nearest_pivots(matrix(pa.chunked_array([part["v"]])), shared.value[width])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r.tobytes() for r in order], pa.binary())], names=[*part.schema.names, "pivots"])
+
+    index = work.table(rows.mapInArrow(permute, "vec_id long, v array<double>, is_query boolean, width int, pivots binary"), "index")
+    # A row for each dimension: how many blocks its vectors make, and how many groups its queries.
+    counts = index.groupBy("width").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil(F.count_if("is_query") / QUERIES)).cast("int").alias("groups"))
+    sized = index.join(work.table(counts, "counts"), "width")
+    place = lambda name, parts: F.pmod(F.xxhash64("vec_id", F.lit(name)), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    data = sized.select("width", "vec_id", "v", "pivots", place("block", "blocks").alias("block"), every("groups").alias("grp"))
+    asked = sized.where("is_query").select(*[F.col(c).alias(c) for c in ("width", "vec_id", "v", "pivots")], place("group", "groups").alias("grp"), every("blocks").alias("block"))
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple] = []
         if left.num_rows and right.num_rows:
             left = left.sort_by("vec_id")
             prefix = lambda t: np.frombuffer(b"".join(t["pivots"].to_pylist()), dtype=np.uint8).reshape(t.num_rows, -1)
+            n_pivots = len(shared.value[left["width"][0].as_py()])
             found = list(search_block(left["vec_id"].to_numpy(), matrix(left["v"]), prefix(left), right["vec_id"].to_numpy(), matrix(right["v"]), prefix(right), k, n_pivots, rerank))
         flat = lambda i, kind: np.concatenate([f[i] for f in found]) if found else np.empty(0, dtype=kind)
         asked_by = np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64) if found else np.empty(0, dtype=np.int64)
         return pa.table({"query_id": asked_by, "vec_id": flat(1, np.int64), "score": flat(2, np.float64)})
 
-    near = data.groupBy("block", "grp").cogroup(asked.groupBy("block", "grp")).applyInArrow(rank, out)
+    near = data.groupBy("width", "block", "grp").cogroup(asked.groupBy("width", "block", "grp")).applyInArrow(rank, out)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -29,7 +29,7 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.audio_features(table(spark, sf_dir, "documents"), real=False)
+    return audio.audio_features(table(spark, sf_dir, "documents"), Work(spark, "audio"))[2]
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op4_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"), Work(spark, "near"))
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"), Work(spark, "near")).drop("x")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op8_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = langid.held_out(F.col("doc_id"))
-    model = langid.fit(docs.where(~F.coalesce(held_out, F.lit(False))))
+    model = langid.fit(docs.where(~held_out))
     told = langid.identify(docs, model)
     return told.select("row.doc_id", langid.held_out(F.col("row.doc_id")).alias("held_out"), F.col("told.lang").alias("lang_pred"), F.col("told.score").alias("score"))
 

@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from loomgraph.llm import order_minhash, phrases, tokens, wordhash
+from loomgraph.llm import align, order_minhash, phrases, tokens, wordhash
 from loomgraph.llm import queries as Q
 from loomgraph.llm.common import Work
 
@@ -74,3 +74,17 @@ def test_a_text_of_very_many_different_words(spark):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, "few words")], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in phrases.phrase_dedup(docs, Work(spark, "t")).collect()}
     assert got == {1: (1_500_000, 0), 2: (1_500_000, 1_499_999), 3: (2, 0)}
+
+
+def test_long_near_copies_align_in_bounded_memory():
+    import tracemalloc
+
+    a = [b"w%d" % i for i in range(300_000)]
+    b = [b"first", *a[1:100_000], *a[100_005:-1], b"last"]
+    tracemalloc.start()
+    assert align.edit_distance(a, b, 60_000) == 7
+    assert align.edit_distance(a[:3000] * 2, a[1500:3000] + a[:4500], 200) == 201
+    repetitive = [b"x", b"y", b"z"] * 2000
+    assert align.edit_distance(repetitive, repetitive[5:-7] + [b"q"], 1000) == 12
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
