@@ -24,7 +24,7 @@ HUBS = 3
 #: Members of a larger bucket that meet as one block, on average at most, and cells of a text's word histogram.
 BLOCK, CELLS = 512, 256
 #: Pairs of two classes that two blocks align in the first round, and by how much that grows each round.
-FIRST, MORE = 4, 16
+FIRST, MORE = 16, 64
 #: Partners of a hub that one task aligns, on average at most.
 PARTNERS = 2000
 
@@ -146,20 +146,23 @@ def candidates(texts: DataFrame, work: Work) -> tuple[DataFrame, DataFrame]:
     return out, crowded
 
 
-def rest(texts: DataFrame, crowded: DataFrame, labels: DataFrame, done: DataFrame, work: Work, most: int) -> tuple[DataFrame, bool]:
-    """Pairs a < b inside crowded buckets that are neither in one class nor among ``done`` and that histograms don't rule out; and whether that is all.
+def rest(texts: DataFrame, crowded: DataFrame, labels: DataFrame, done: DataFrame, work: Work, most: int, blocks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs a < b inside crowded buckets that are neither in one class nor among ``done`` and that histograms don't rule out; and the blocks that have more.
 
     A bucket of several classes is cut into blocks by a hash of the node, and
     every two blocks meet in a group of bounded size, so all pairs are looked
     at, whatever the size of the bucket.  Where two blocks hold over ``most``
     such pairs of the same two classes, those with the fewest edits by their
-    histograms come first; one link of them makes all others needless.
+    histograms come first; one link of them makes all others needless.  Such
+    blocks (key, lo, hi) are all that a later round has to look at.
     """
     own = work.table(crowded.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("label", "node").alias("label")), "own")
     split = own.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    rows = own.join(split, "key").join(texts.select("node", "n_words", "cells"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = own.join(split, "key").join(texts.select("node", "n_words", "cells", "bands"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label", "n_words", "cells")
+    dealt = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label", "n_words", "cells", "bands")
+    if blocks is not None:
+        dealt = dealt.join(blocks, ["key", "lo", "hi"], "left_semi")
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.sort_by("node")
@@ -171,11 +174,12 @@ def rest(texts: DataFrame, crowded: DataFrame, labels: DataFrame, done: DataFram
         open_ = (label[x][:, None] != label[y][None, :]) & (shorter >= LEAST * longer - 1e-9)
         if lo == hi:
             open_ &= node[x][:, None] < node[y][None, :]
-        if not open_.any():
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "more": pa.array([], pa.bool_())})
-        edits = least_edits(cells[x], cells[y])
+        edits = least_edits(cells[x], cells[y]) if open_.any() else longer
         open_ &= edits <= ((1 - LEAST) * longer + 1e-9).astype(np.int64)
         i, j = np.nonzero(open_)
+        bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
+        own = (bands[x[i]] == bands[y[j]]).argmax(axis=1) == int((bands[0] == group["key"][0].as_py()).argmax())
+        i, j = i[own], j[own]  # other pairs meet in an earlier band
         p, q = label[x[i]], label[y[j]]
         p, q = np.minimum(p, q), np.maximum(p, q)
         order = np.lexsort((j, i, edits[i, j] / longer[i, j], q, p))
@@ -187,14 +191,14 @@ def rest(texts: DataFrame, crowded: DataFrame, labels: DataFrame, done: DataFram
         i, j, nth = i[nth <= most], j[nth <= most], nth[nth <= most]
         kept = nth < most
         p, q = node[x[i[kept]]], node[y[j[kept]]]
-        return pa.table({"a": np.minimum(p, q), "b": np.maximum(p, q), "more": np.full(len(p), not kept.all())})
+        same = lambda c: pa.repeat(group[c][0], len(p))
+        return pa.table({"key": same("key"), "lo": same("lo"), "hi": same("hi"), "a": np.minimum(p, q), "b": np.maximum(p, q), "more": np.full(len(p), not kept.all())})
 
-    found = dealt.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
-    found = work.table(found, "found")
-    out = work.table(found.select("a", "b").join(done, ["a", "b"], "left_anti"), "rest")
-    partial = not found.where("more").isEmpty()
+    found = work.table(dealt.groupBy("key", "lo", "hi").applyInArrow(compare, "key long, lo long, hi long, a long, b long, more boolean"), "found")
+    out = work.table(found.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "rest")
+    more = work.table(found.where("more").select("key", "lo", "hi").distinct(), "more")
     work.drop(own, found)
-    return out, partial
+    return out, more
 
 
 def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -271,13 +275,14 @@ def near_duplicates(docs: DataFrame, work: Work, text: str = "text", key: str =
     (texts, several), named = nodes(copies, work), rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     done, crowded = candidates(texts, work)
     links = work.table(verified(done, texts, named).select("a", "b").distinct(), "links")
-    labels, most, partial = components(work, links), FIRST, True
-    while partial:
-        left, partial = rest(texts, crowded, labels, done, work, most)
-        if not left.isEmpty():
-            links = work.table(links.union(verified(left, texts, named).select("a", "b")).distinct(), "links")
-            labels, done = components(work, links), work.table(done.union(left), "done")
-        most *= MORE
+    labels, most, blocks = components(work, links), FIRST, None
+    while blocks is None or not blocks.isEmpty():
+        left, blocks = rest(texts, crowded, labels, done, work, most, blocks)
+        new = work.table(verified(left, texts, named).select("a", "b").distinct(), "new")
+        if not new.isEmpty():
+            links = work.table(links.union(new), "links")
+            labels = components(work, links)
+        done, most = work.table(done.union(left), "done"), most * MORE
     classes = texts.select("d1", "d2", "rep", "node").join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("d1", "d2", "rep", F.coalesce("label", "node").alias("label"))
     if several:  # labels may be numbers above all ids
         classes = work.table(classes, "classes")
