@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from functools import reduce
@@ -37,7 +38,7 @@ def degree(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node_id").agg(F.count("*").alias("degree"))
 
 
-def closure(links: DataFrame, start: DataFrame | None = None, most: int = 10_000) -> DataFrame:
+def closure(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """(src, dst, depth): nodes that a path of 1 or more links reaches, with the shortest depth.
 
     A frontier goes one link further each round and drops pairs already
@@ -48,13 +49,12 @@ def closure(links: DataFrame, start: DataFrame | None = None, most: int = 10_000
     reached = step if start is None else step.join(start.select("src").distinct(), "src", "left_semi")
     reached = frontier = saved(reached.withColumn("depth", F.lit(1)), "reached")
     hop = step.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-    for depth in range(2, most):
+    for depth in itertools.count(2):
         new = frontier.join(hop, "dst").select("src", F.col("next").alias("dst")).distinct().join(reached, ["src", "dst"], "left_anti")
         frontier = saved(new.withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
             return reached
         reached = reached.unionByName(frontier)
-    raise RuntimeError("closure did not end")
 
 
 def ancestors(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:

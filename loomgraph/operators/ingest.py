@@ -25,16 +25,15 @@ def picked_blocks(pages: DataFrame, names: Column, most: int = PICKED_BLOCKS) ->
     """Pages (columns kept, text replaced) as blocks: adds pos, n_blocks and block.
 
     The first block stays, others by how often they hold one of ``names``, up
-    to ``most``, in text order.
+    to ``most``, in text order.  Equal rows are pages of their own.
     """
-    rows = pages.withColumn("_names", F.transform(F.filter(names, lambda n: F.coalesce(n, F.lit("")) != ""), X.norm)).withColumn("_id", F.xxhash64("text", "_names"))
+    rows = pages.withColumn("_names", F.transform(F.filter(names, lambda n: F.coalesce(n, F.lit("")) != ""), X.norm)).withColumn("_id", F.monotonically_increasing_id())
     cut = rows.withColumn("_blocks", split_blocks("text"))
     cut = cut.select(*[c for c in cut.columns if c not in ("_blocks", "text")], F.posexplode("_blocks").alias("pos", "block"))
     score = F.aggregate("_names", F.lit(0), lambda s, n: s + X.occurrences(X.norm(F.col("block")), n))
-    keys = [c for c in pages.columns if c != "text"] + ["_id"]
-    order = Window.partitionBy(*keys).orderBy(F.desc(F.col("pos") == 0), F.desc("_score"), "pos")
+    order = Window.partitionBy("_id").orderBy(F.desc(F.col("pos") == 0), F.desc("_score"), "pos")
     ranked = cut.withColumn("_score", score).withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= most)
-    return ranked.withColumn("n_blocks", F.count("*").over(Window.partitionBy(*keys))).drop("_names", "_id", "_score", "_nth")
+    return ranked.withColumn("n_blocks", F.count("*").over(Window.partitionBy("_id"))).drop("_names", "_id", "_score", "_nth")
 
 
 def quota(cap: int, n_blocks: int) -> int:

@@ -133,7 +133,7 @@ def eligible_edges(nodes: DataFrame, edges: DataFrame, signals: DataFrame, appro
     return rows.select("id", "src", "dst", "type", F.when(approve, "approve").when(reject, "reject").alias("decision")).where("decision IS NOT NULL")
 
 
-def without_cycles(eligible: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def without_cycles(eligible: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, decision): approvals in id order, none of which closes a cycle with live edges and earlier approvals; else hold.
 
     A round settles a whole prefix of the order: all edges up to the first one
@@ -146,14 +146,9 @@ def without_cycles(eligible: DataFrame, edges: DataFrame, most_rounds: int = 100
     for edge_type in S.ACYCLIC_TYPES:
         todo = graph.saved(eligible.where((F.col("decision") == "approve") & (F.col("type") == edge_type)).select("id", "src", "dst"), "todo")
         base = graph.live(edges, edge_type).select("src", "dst")
-        for _ in range(most_rounds):
-            bad = first_closing(todo, base)
-            if bad is None:
-                break
+        while (bad := first_closing(todo, base)) is not None:
             parts.append(todo.where(F.col("id") == bad).select("id", F.lit("hold").alias("decision")))
-            todo = todo.where(F.col("id") != bad)
-        else:
-            raise RuntimeError("too many edges that close cycles")
+            todo = graph.saved(todo.where(F.col("id") != bad), "todo")
         parts.append(todo.select("id", F.lit("approve").alias("decision")))
     out = parts[0]
     for p in parts[1:]:

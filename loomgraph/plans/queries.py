@@ -286,17 +286,8 @@ def section_sources(spark, sf):
 ON contains(d.body, lower(regexp_replace(b.text, '[[:space:]\x{3000}\x{a0}]', '', 'g')))"""
 )
 def evidence_match(spark, sf):
-    """Which documents hold which quotation; a quotation's rarest-looking long word must be a word of the document, so they meet by word."""
     quotes = V.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
-    bodies = V.table(spark, sf, "documents").select("doc_id", "text")
-    word = lambda c: F.filter(F.split(F.lower(c), r"(?U)\s+"), lambda w: w != "")
-    inner = F.slice(word(F.col("quote")), 2, F.greatest(F.size(word(F.col("quote"))) - 2, F.lit(0)))
-    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    keyed = quotes.withColumn("word", F.when(F.size(inner) > 0, longest))
-    words = bodies.select("doc_id", F.explode(F.array_distinct(word(F.col("text")))).alias("word"))
-    likely = words.join(F.broadcast(keyed) if keyed.count() < 50_000 else keyed, "word").select("item_id", "quote", "doc_id").join(bodies, "doc_id")
-    rest = keyed.where("word IS NULL").crossJoin(bodies).select("doc_id", "item_id", "quote", "text")
-    return likely.union(rest).where(X.evidence_in_text(F.col("quote"), F.col("text"))).select("item_id", "doc_id")
+    return docs.quoted_in(quotes, V.table(spark, sf, "documents"))
 
 
 @query("SELECT node_id, book, CAST(ord AS INT) AS ord FROM h", V.SQL_TERMS)
@@ -327,7 +318,7 @@ def exact_duplicates(spark, sf):
     d = V.table(spark, sf, "documents")
     key = F.sha2(F.lower(F.trim("text")), 256)
     groups = d.groupBy(key.alias("key")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
-    return d.select("doc_id", F.length("text").cast("long").alias("n_chars"), (F.coalesce("text", F.lit("")) == "").alias("is_empty"), key.alias("key")).join(groups, "key").drop("key")
+    return d.select("doc_id", F.length("text").cast("long").alias("n_chars"), (F.coalesce("text", F.lit("")) == "").alias("is_empty"), key.alias("own")).join(groups, F.col("own").eqNullSafe(F.col("key"))).drop("own", "key")
 
 
 @query()
@@ -346,7 +337,7 @@ def picked_blocks(spark, sf):
 @query()
 def similar_titles(spark, sf):
     """Page titles that are alike; a pair is compared if it shares a word."""
-    words = V.pages(spark, sf).select("page_id", "title", F.explode(F.array_distinct(F.split(F.lower("title"), r"\W+"))).alias("word")).where("word <> ''")
+    words = V.pages(spark, sf).select("page_id", "title", F.explode(F.array_distinct(F.split(F.lower("title"), r"(?U)\W+"))).alias("word")).where("word <> ''")
     other = words.select(F.col("page_id").alias("other_id"), F.col("title").alias("other"), "word")
     pairs = words.join(other, "word").where("page_id < other_id").select("page_id", "title", "other_id", "other").distinct()
     return pairs.withColumn("similarity", U.similar("title", "other")).where(F.col("similarity") >= S.TITLE_SIMILARITY).select("page_id", "other_id", "similarity")

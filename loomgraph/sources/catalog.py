@@ -23,16 +23,31 @@ class Catalog:
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def exists(self, name: str) -> bool:
+        self._settle(name)
         path, fs = self._fs(self._path(name))
         return fs.exists(path)
 
+    def _settle(self, name: str) -> None:
+        """Ends a swap that was cut short between its renames: the complete new snapshot comes in, else the old one comes back."""
+        path, fs = self._fs(self._path(name))
+        if not fs.exists(path):
+            for other, mark in (("new", "/_SUCCESS"), ("old", "")):
+                if fs.exists(self._fs(f"{self._path(name)}.{other}{mark}")[0]):
+                    fs.rename(self._fs(f"{self._path(name)}.{other}")[0], path)
+                    return
+
     def read(self, name: str) -> DataFrame:
         if not self.exists(name):
             return self.spark.createDataFrame([], S.TABLES[name])
         return S.conform(self.spark.read.option("mergeSchema", "true").parquet(self._path(name)), S.TABLES[name])
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """Writes a new snapshot beside the old one and then swaps them, so readers never see half a table."""
+        """Writes a new snapshot beside the old one and then swaps them, so readers never see half a table.
+
+        A run that ends between the two renames leaves both snapshots; the next
+        read or write ends the swap, so no table is lost or taken to be empty.
+        """
+        self._settle(name)
         new, old = f"{self._path(name)}.new", f"{self._path(name)}.old"
         S.conform(rows, S.TABLES[name]).write.mode("overwrite").parquet(new)
         (p_new, fs), (p_old, _), (p, _) = self._fs(new), self._fs(old), self._fs(self._path(name))
@@ -43,6 +58,7 @@ class Catalog:
         fs.delete(p_old, True)
 
     def append(self, name: str, rows: DataFrame) -> None:
+        self._settle(name)
         S.conform(rows, S.TABLES[name]).write.mode("append").parquet(self._path(name))
 
 
