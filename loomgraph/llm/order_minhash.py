@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .align import similarity
@@ -19,10 +19,12 @@ SHINGLE, LEAST, KEPT = 5, 0.8, 2
 BANDS, PER_BAND = 40, 1
 #: Buckets up to this size are compared pair by pair at once; larger ones through hubs first.
 SMALL = 8
-#: Hubs of a larger bucket, at most.
+#: Hubs of a larger bucket, at most, and hubs of all its larger buckets that a text is aligned with at once.
 HUBS = 3
-#: Members of a larger bucket that meet as one block, on average at most, and cells of a text's word histogram.
-BLOCK, CELLS = 512, 256
+#: Members of a larger bucket that meet as one block, on average at most.
+BLOCK = 512
+#: Cells of a text's word histogram, and those that are left when they are folded for a first look.
+CELLS, FOLDED = 2048, 256
 #: Pairs of two classes that two blocks align in the first round, and by how much that grows each round.
 FIRST, MORE = 16, 64
 #: Partners of a hub that one task aligns, on average at most.
@@ -81,6 +83,20 @@ def histograms(words: Words) -> np.ndarray:
     return np.minimum(np.bincount(cell, minlength=len(n) * CELLS), 255).astype(np.uint8).reshape(len(n), CELLS)
 
 
+def folded(cells: np.ndarray) -> np.ndarray:
+    """Histograms of FOLDED cells: sums of every FOLDED-th cell, up to 65535."""
+    return np.minimum(cells.reshape(len(cells), -1, FOLDED).sum(axis=1, dtype=np.int64), 65535).astype(np.uint16)
+
+
+def pair_edits(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``least_edits`` of row i of ``a`` and row j of ``b``, for lists of such pairs."""
+    size, out = [x.sum(axis=1, dtype=np.int64) for x in (a, b)], np.empty(len(i), dtype=np.int64)
+    for at in range(0, len(i), 4096):
+        p, q = i[at : at + 4096], j[at : at + 4096]
+        out[at : at + 4096] = np.maximum(size[0][p], size[1][q]) - np.minimum(a[p], b[q]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def least_edits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For every row of ``a`` and of ``b``, edits that two texts of such histograms need at least.
 
@@ -89,7 +105,7 @@ def least_edits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     lower the surplus.
     """
     left, right = a.T.astype(np.uint16), b.T.astype(np.uint16)
-    common, part = np.zeros((len(a), len(b)), dtype=np.uint16), np.empty((len(a), len(b)), dtype=np.uint16)
+    common, part = np.zeros((len(a), len(b)), dtype=np.int64), np.empty((len(a), len(b)), dtype=np.uint16)
     for x, y in zip(left, right, strict=True):
         if x.any() and y.any():
             common += np.minimum(x[:, None], y[None, :], out=part)
@@ -97,7 +113,7 @@ def least_edits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id and x (which name a text), digest (d1, d2) and number of its words, band keys (none without words) and word histogram."""
+    """doc_id and x (which name a text), digest (d1, d2) and number of its words, and band keys (none without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,20 +130,47 @@ def sketches(docs: DataFrame) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum((n > 0) * BANDS)]).astype(np.int32)
                 flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(a, b - a), batch["x"].slice(a, b - a), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([c.tobytes() for c in histograms(words)], pa.binary())],
-                    names=["doc_id", "x", "d1", "d2", "n_words", "bands", "cells"],
+                    [batch["doc_id"].slice(a, b - a), batch["x"].slice(a, b - a), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                    names=["doc_id", "x", "d1", "d2", "n_words", "bands"],
+                )
+
+    return docs.mapInArrow(run, "doc_id long, x long, d1 long, d2 long, n_words long, bands array<long>")
+
+
+def members(texts: DataFrame, pairs: DataFrame, crowded: DataFrame, docs: DataFrame) -> DataFrame:
+    """Texts that take part in a pair or stand in a crowded bucket: (node, text, n_words, bands, cells).
+
+    All rounds read these, so the texts of all documents are shuffled once.
+    Histograms are made for crowded buckets only; elsewhere they are null.
+    """
+    crowd = crowded.select("node").distinct().withColumn("crowd", F.lit(True))
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(crowd, "node", "full")
+    named = texts.select("node", F.col("rep").alias("doc_id"), "x", "n_words", "bands").join(needed, "node")
+    # Neither side has a size bound, so both are shuffled at every size; AQE splits skewed parts.
+    rows = named.hint("merge").join(docs, ["doc_id", "x"]).select("node", "text", "n_words", "bands", "crowd")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = buffers(batch["text"])
+            for a, b in slices(at):
+                crowd = batch["crowd"].slice(a, b - a).to_pylist()
+                cells = histograms(words_of(data, at[a : b + 1]))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch[c].slice(a, b - a) for c in ("node", "text", "n_words", "bands")), pa.array([c.tobytes() if own else None for c, own in zip(cells, crowd, strict=True)], pa.binary())],
+                    names=["node", "text", "n_words", "bands", "cells"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, x long, d1 long, d2 long, n_words long, bands array<long>, cells binary")
+    return rows.mapInArrow(run, "node long, text string, n_words long, bands array<long>, cells binary")
 
 
 def candidates(texts: DataFrame, work: Work) -> tuple[DataFrame, DataFrame]:
     """First pairs a < b of (node, n_words, bands) rows that share a band key and have lengths that allow a link, and the crowded buckets.
 
-    Buckets of up to SMALL rows give all pairs.  Larger ones give each row's
-    pairs with HUBS hubs, the smallest ids of hash groups, which differ from
-    bucket to bucket; their other pairs are left to ``rest``, for which their
-    rows are returned as (key, node).
+    Buckets of up to SMALL rows give all pairs.  Larger ones have HUBS hubs,
+    the smallest ids of hash groups, which differ from bucket to bucket; of all
+    these a row is paired with the HUBS hubs with which it shares the most
+    buckets.  Their other pairs are left to ``rest``, for which their rows are
+    returned as (key, node).
     """
     posted = work.table(texts.select("node", "n_words", F.explode("bands").alias("key")), "posted")
     group = F.pmod(F.xxhash64("node", "key"), F.lit(HUBS))
@@ -136,33 +179,48 @@ def candidates(texts: DataFrame, work: Work) -> tuple[DataFrame, DataFrame]:
     buckets = work.table(posted.groupBy("key").agg(F.count("*").alias("n"), F.array(*hubs).alias("hubs")).where("n > 1"), "buckets")
     members = posted.join(buckets, "key")
     small = members.where(F.col("n").between(3, SMALL)).groupBy("key").agg(F.collect_list(one).alias("all"))
-    by_hub = members.where((F.col("n") == 2) | (F.col("n") > SMALL)).select(one.alias("x"), F.explode("hubs").alias("y"))
+    by_two = members.where("n = 2").select(one.alias("x"), F.explode("hubs").alias("y"))
     by_pair = small.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y"))
-    pairs = by_hub.union(by_pair).where(F.col("y").isNotNull() & (F.col("x.node") != F.col("y.node")))
     fits = F.least("x.n_words", "y.n_words") >= F.lit(LEAST) * F.greatest("x.n_words", "y.n_words") - 1e-9
-    out = work.table(pairs.where(fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
+    other = F.col("y").isNotNull() & (F.col("x.node") != F.col("y.node")) & fits
+    shared = members.where(F.col("n") > SMALL).select(one.alias("x"), F.explode("hubs").alias("y")).where(other).groupBy("x", "y").agg(F.count("*").alias("n"))
+    # A row has at most HUBS * BANDS hubs, so these groups are small.
+    nearest = shared.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("n"), "y"))), 1, HUBS).alias("best"))
+    by_hub = nearest.select("x", F.explode("best").alias("best")).select("x", "best.y")
+    pairs = by_hub.union(by_two.union(by_pair).where(other))
+    out = work.table(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
     crowded = work.table(members.where(F.col("n") > SMALL).select("key", "node"), "crowded")
     work.drop(posted, buckets)
     return out, crowded
 
 
-def rest(texts: DataFrame, crowded: DataFrame, labels: DataFrame, done: DataFrame, work: Work, most: int, blocks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Pairs a < b inside crowded buckets that are neither in one class nor among ``done`` and that histograms don't rule out; and the blocks that have more.
+def rest(texts: DataFrame, crowded: DataFrame, labels: DataFrame, done: DataFrame, work: Work, most: int, keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs a < b inside crowded buckets that are neither in one class nor among ``done`` and that histograms don't rule out; and the buckets that have more.
 
     A bucket of several classes is cut into blocks by a hash of the node, and
     every two blocks meet in a group of bounded size, so all pairs are looked
-    at, whatever the size of the bucket.  Where two blocks hold over ``most``
-    such pairs of the same two classes, those with the fewest edits by their
-    histograms come first; one link of them makes all others needless.  Such
-    blocks (key, lo, hi) are all that a later round has to look at.
+    at, whatever the size of the bucket.  A class of over BLOCK rows has blocks
+    of its own, which don't meet each other: rows are copied in proportion to
+    the class times what lies outside it, not to its square.  Where two blocks
+    hold over ``most`` pairs of the same two classes, those with the fewest
+    edits by their histograms come first; one link of them makes all others
+    needless.  Such buckets (key) are all that a later round has to look at.
     """
+    if keys is not None:
+        crowded = crowded.join(keys, "key", "left_semi")
     own = work.table(crowded.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("label", "node").alias("label")), "own")
-    split = own.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    rows = own.join(split, "key").join(texts.select("node", "n_words", "cells", "bands"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    classes = work.table(own.groupBy("key", "label").agg(F.count("*").alias("c")).withColumn("pure", F.when(F.col("c") > BLOCK, F.ceil(F.col("c") / BLOCK)).otherwise(0)), "sizes")
+    loose = F.ceil(F.sum(F.when(F.col("pure") == 0, F.col("c")).otherwise(0)) / BLOCK)
+    split = classes.groupBy("key").agg(loose.alias("loose"), (loose + F.sum("pure")).alias("blocks"), F.count("*").alias("k")).where("k > 1").drop("k")
+    # A bucket has few classes over BLOCK, so this window sees one row for BLOCK rows at most.
+    earlier = Window.partitionBy("key").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
+    large = classes.where("pure > 0").select("key", "label", "pure", F.coalesce(F.sum("pure").over(earlier), F.lit(0)).alias("before"))
+    rows = own.join(split, "key").join(large, ["key", "label"], "left").join(texts.select("node", "n_words", "cells", "bands"), "node")
+    first, end = F.col("loose") + F.col("before"), F.col("loose") + F.col("before") + F.col("pure")
+    rows = rows.withColumn("block", F.when(F.col("pure").isNull(), F.pmod(F.xxhash64("node"), F.col("loose"))).otherwise(first + F.pmod(F.xxhash64("node"), F.col("pure"))))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    rows = rows.withColumn("other", F.explode(F.when(F.col("pure").isNull(), every).otherwise(F.filter(every, lambda o: (o < first) | (o >= end)))))
     dealt = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label", "n_words", "cells", "bands")
-    if blocks is not None:
-        dealt = dealt.join(blocks, ["key", "lo", "hi"], "left_semi")
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.sort_by("node")
@@ -174,15 +232,19 @@ def rest(texts: DataFrame, crowded: DataFrame, labels: DataFrame, done: DataFram
         open_ = (label[x][:, None] != label[y][None, :]) & (shorter >= LEAST * longer - 1e-9)
         if lo == hi:
             open_ &= node[x][:, None] < node[y][None, :]
-        edits = least_edits(cells[x], cells[y]) if open_.any() else longer
-        open_ &= edits <= ((1 - LEAST) * longer + 1e-9).astype(np.int64)
+        most_edits = ((1 - LEAST) * longer + 1e-9).astype(np.int64)
+        if open_.any():
+            open_ &= least_edits(folded(cells[x]), folded(cells[y])) <= most_edits
         i, j = np.nonzero(open_)
+        edits = pair_edits(cells[x], cells[y], i, j)
+        near = edits <= most_edits[i, j]
+        i, j, edits = i[near], j[near], edits[near]
         bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
         own = (bands[x[i]] == bands[y[j]]).argmax(axis=1) == int((bands[0] == group["key"][0].as_py()).argmax())
-        i, j = i[own], j[own]  # other pairs meet in an earlier band
+        i, j, edits = i[own], j[own], edits[own]  # other pairs meet in an earlier band
         p, q = label[x[i]], label[y[j]]
         p, q = np.minimum(p, q), np.maximum(p, q)
-        order = np.lexsort((j, i, edits[i, j] / longer[i, j], q, p))
+        order = np.lexsort((j, i, edits / longer[i, j], q, p))
         i, j, p, q = i[order], j[order], p[order], q[order]
         new = np.ones(len(i), dtype=bool)
         new[1:] = (np.diff(p) != 0) | (np.diff(q) != 0)
@@ -192,19 +254,19 @@ def rest(texts: DataFrame, crowded: DataFrame, labels: DataFrame, done: DataFram
         kept = nth < most
         p, q = node[x[i[kept]]], node[y[j[kept]]]
         same = lambda c: pa.repeat(group[c][0], len(p))
-        return pa.table({"key": same("key"), "lo": same("lo"), "hi": same("hi"), "a": np.minimum(p, q), "b": np.maximum(p, q), "more": np.full(len(p), not kept.all())})
+        return pa.table({"key": same("key"), "a": np.minimum(p, q), "b": np.maximum(p, q), "more": np.full(len(p), not kept.all())})
 
-    found = work.table(dealt.groupBy("key", "lo", "hi").applyInArrow(compare, "key long, lo long, hi long, a long, b long, more boolean"), "found")
+    found = work.table(dealt.groupBy("key", "lo", "hi").applyInArrow(compare, "key long, a long, b long, more boolean"), "found")
     out = work.table(found.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "rest")
-    more = work.table(found.where("more").select("key", "lo", "hi").distinct(), "more")
-    work.drop(own, found)
+    more = work.table(found.where("more").select("key").distinct(), "more")
+    work.drop(own, classes, found)
     return out, more
 
 
-def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
     """The pairs whose alignment similarity, 1 - edit distance in words / longer length, is ``least`` or more: (a, b, similarity).
 
-    ``texts`` is (node, rep, x): which text a node stands for; ``docs`` is (doc_id, x, text).
+    ``texts`` has the (node, text) of every id in a pair.
 
     Both texts of a pair meet in a task that is picked by the smaller id and a
     hash of the other one, so a text with very many partners is spread out.
@@ -213,8 +275,7 @@ def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, least: float =
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(groups)).cast("int").alias("grp"))
     needed = dealt.select(F.col("b").alias("id"), "a", "grp").union(dealt.select(F.col("a").alias("id"), "a", "grp").distinct())
     # Neither side has a size bound, so both are shuffled at every size; AQE splits skewed parts.
-    named = needed.hint("merge").join(texts.select(F.col("node").alias("id"), F.col("rep").alias("doc_id"), "x"), "id")
-    rows = named.hint("merge").join(docs, ["doc_id", "x"]).select("a", "grp", "id", "text")
+    rows = needed.hint("merge").join(texts.select(F.col("node").alias("id"), "text"), "id").select("a", "grp", "id", "text")
     rows = rows.repartition("a", "grp").sortWithinPartitions("a", "grp", "id")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,19 +331,22 @@ def near_duplicates(docs: DataFrame, work: Work, text: str = "text", key: str =
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("x"), F.col(text).cast("string").alias("text"))
     found = work.table(sketches(rows), "sketches")
     one = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "x"))).alias("one")
-    copies = found.where("n_words > 0").groupBy("d1", "d2").agg(one, *[F.first(c).alias(c) for c in ("n_words", "bands", "cells")])
-    copies = work.table(copies.select("d1", "d2", F.col("one.doc_id").alias("rep"), "one.x", "n_words", "bands", "cells"), "texts")
+    copies = found.where("n_words > 0").groupBy("d1", "d2").agg(one, *[F.first(c).alias(c) for c in ("n_words", "bands")])
+    copies = work.table(copies.select("d1", "d2", F.col("one.doc_id").alias("rep"), "one.x", "n_words", "bands"), "texts")
     (texts, several), named = nodes(copies, work), rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     done, crowded = candidates(texts, work)
-    links = work.table(verified(done, texts, named).select("a", "b").distinct(), "links")
-    labels, most, blocks = components(work, links), FIRST, None
-    while blocks is None or not blocks.isEmpty():
-        left, blocks = rest(texts, crowded, labels, done, work, most, blocks)
-        new = work.table(verified(left, texts, named).select("a", "b").distinct(), "new")
-        if not new.isEmpty():
-            links = work.table(links.union(new), "links")
-            labels = components(work, links)
-        done, most = work.table(done.union(left), "done"), most * MORE
+    taking = work.table(members(texts, done, crowded, named), "taking")
+    links = work.table(verified(done, taking).select("a", "b").distinct(), "links")
+    labels, most, keys = components(work, links), FIRST, None
+    while keys is None or not keys.isEmpty():
+        left, keys = rest(taking, crowded, labels, done, work, most, keys)
+        if not left.isEmpty():
+            new = work.table(verified(left, taking).select("a", "b").distinct(), "new")
+            if not new.isEmpty():
+                links = work.table(links.union(new), "links")
+                labels = components(work, links)
+            done = work.table(done.union(left), "done")
+        most *= MORE
     classes = texts.select("d1", "d2", "rep", "node").join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("d1", "d2", "rep", F.coalesce("label", "node").alias("label"))
     if several:  # labels may be numbers above all ids
         classes = work.table(classes, "classes")
