@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from . import graph
 from .dedup import append_missing
 from .names import name_index, resolve
 
@@ -41,7 +42,7 @@ def later_decision(log: DataFrame) -> DataFrame:
 def append_log(log: DataFrame, new: DataFrame) -> DataFrame:
     """Log with new rows (item_type, item_id, action, detail, source, decided_by, batch_id, created_at) under the next ids, in item order."""
     top = log.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    numbered = new.withColumn("id", F.row_number().over(Window.orderBy("item_type", "item_id")) + F.lit(top))
+    numbered = graph.numbered(new, top, "item_type", "item_id", "decided_by", "action", "detail", "created_at")
     return log.unionByName(numbered.select(*log.columns))
 
 

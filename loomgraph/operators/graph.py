@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -18,18 +18,39 @@ def live(edges: DataFrame, *types: str) -> DataFrame:
     return out.where(F.col("type").isin(*types)) if types else out
 
 
-def saved(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` written to the folder in spark.checkpoint.dir and read again, which cuts its lineage."""
-    spark: SparkSession = df.sparkSession
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder in spark.checkpoint.dir; only local sessions without one get a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` written to the folder in spark.checkpoint.dir and read again, which cuts its lineage."""
+    path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, top: int, *order: str, column: str = "id") -> DataFrame:
+    """``rows`` with ids from ``top`` + 1 in the order of some columns, which tell rows apart.
+
+    Rows are dealt out by ranges of that order and numbered range by range; the
+    driver sees a count for each range, so no task holds more than one.
+    """
+    dealt = saved(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts, start, starts = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}, top, {}
+    for part in sorted(counts):
+        starts[part], start = start, start + counts[part]
+    if not starts:
+        return dealt.withColumn(column, F.lit(top).cast("long")).drop("_part")
+    first = F.create_map(*[F.lit(x) for item in starts.items() for x in item])[F.col("_part")]
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn(column, (nth + first).cast("long")).drop("_part")
 
 
 def degree(edges: DataFrame) -> DataFrame:

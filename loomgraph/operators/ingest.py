@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import text as X
 from ..functions.udfs import PICKED_BLOCKS, split_blocks
+from . import graph
 from .dedup import append_missing
 from .names import first_per, name_index, resolve
 
@@ -108,7 +109,7 @@ def add_nodes(nodes: DataFrame, new: DataFrame, now: float) -> DataFrame:
     """Nodes with new ones (name, definition, aliases, facets, source[, status]) under the next ids; the first of equal names counts and known names are left out."""
     top = nodes.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     fresh = first_per(new.withColumn("name", X.strip(F.col("name"))), ["name"], F.col("source")).join(nodes.select("name"), "name", "left_anti")
-    numbered = fresh.withColumn("id", (F.row_number().over(Window.orderBy("source", "name")) + F.lit(top)).cast("long")).withColumn("type", F.lit("concept")).withColumn("created_at", F.lit(now))
+    numbered = graph.numbered(fresh, top, "source", "name").withColumn("type", F.lit("concept")).withColumn("created_at", F.lit(now))
     if "status" not in fresh.columns:
         numbered = numbered.withColumn("status", F.lit("proposed"))
     return nodes.unionByName(numbered.select(*[c for c in nodes.columns if c in numbered.columns]), allowMissingColumns=True)
@@ -126,7 +127,7 @@ def add_edges(edges: DataFrame, nodes: DataFrame, new: DataFrame, now: float) ->
     top = edges.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     one = first_per(new, ["src", "dst", "type"], F.desc("confidence"), F.col("source"), F.col("rationale"))
     fresh = new_edges(one, edges)
-    numbered = fresh.withColumn("id", (F.row_number().over(Window.orderBy("src", "dst", "type")) + F.lit(top)).cast("long")).withColumn("created_at", F.lit(now))
+    numbered = graph.numbered(fresh, top, "src", "dst", "type").withColumn("created_at", F.lit(now))
     numbered = numbered.join(bad_endpoints(nodes, numbered).select("id"), "id", "left_anti")
     return edges.unionByName(numbered.select(*edges.columns))
 
@@ -135,7 +136,7 @@ def log_ingest(log: DataFrame, new: DataFrame, now: float) -> DataFrame:
     """Ingest log with (anchor, source) pairs that it lacks."""
     top = log.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     fresh = new.select("anchor", "source").distinct().join(log, ["anchor", "source"], "left_anti")
-    numbered = fresh.withColumn("id", (F.row_number().over(Window.orderBy("anchor", "source")) + F.lit(top)).cast("long")).withColumn("created_at", F.lit(now))
+    numbered = graph.numbered(fresh, top, "anchor", "source").withColumn("created_at", F.lit(now))
     return log.unionByName(numbered.select(*log.columns))
 
 

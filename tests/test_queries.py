@@ -5,6 +5,7 @@ from pathlib import Path
 
 import pytest
 
+from loomgraph.plans import edits  # noqa: F401  registers its queries
 from loomgraph.plans import queries as Q
 from tests.oracle import compare
 
