@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Unicode white space; Java's plain \s knows ASCII only.
 SPACE = r"(?U)\s"
+#: What words are made of, and the gaps between them.
+WORD, GAP = r"[\pL\pN_]", r"[^\pL\pN_]+"
 
 
 def strip(s: Column) -> Column:
@@ -82,8 +84,11 @@ def evidence_in_text(evidence: Column, text: Column) -> Column:
 
 
 def name_in_text(name: Column, text: Column, least: int = 3) -> Column:
-    """Whether a name of at least ``least`` characters stands in the text: an ASCII name as whole words, others anywhere."""
-    quoted = F.concat(F.lit(r"(?U)\b\Q"), F.replace(F.lower(name), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E\b"))
+    """Whether a name of at least ``least`` characters stands in the text: an ASCII name as whole words, others anywhere.
+
+    Whole means that no letter, digit or underscore touches it, so a name may begin or end with a mark ("c++").
+    """
+    quoted = F.concat(F.lit(rf"(?<!{WORD})\Q"), F.replace(F.lower(name), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(rf"\E(?!{WORD})"))
     words = F.rlike(F.lower(text), quoted)
     return (F.length(name) >= least) & F.when(name.rlike(r"^[\x00-\x7f]+$"), words).otherwise(F.contains(norm(text), norm(name)))
 

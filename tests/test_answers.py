@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 from loomgraph import schema as S
 from loomgraph.functions import text as X
 from loomgraph.operators import docs, ingest
+from loomgraph.plans import edits  # noqa: F401  registers its queries
 from loomgraph.plans import queries as Q
 from loomgraph.sources.catalog import Catalog
+from tests.oracle import compare
 
 
 def test_quotations_are_found_whatever_their_words(spark):
@@ -49,3 +51,17 @@ def test_a_swap_that_was_cut_short(spark, tmp_path):
     S.conform(node.withColumn("name", F.lit("b")), S.TABLES["nodes"]).write.parquet(str(tmp_path / "nodes.new"))
     catalog.append("nodes", spark.createDataFrame([(2, "c")], "id long, name string"))
     assert sorted(r["name"] for r in catalog.read("nodes").collect()) == ["b", "c"]
+
+
+def test_names_with_marks_at_their_ends(spark):
+    cases = [("the,", "Reouha the, of", True), ("c++", "in c++ and c", True), ("c++", "c++x", False), (".net", "uses .NET", True), (".net", "asp.net", False), ("cafe", "a cafe\u0301", True), ("gru", "con_gru", False)]
+    rows = spark.createDataFrame([(i, n, t) for i, (n, t, _) in enumerate(cases)], "i long, n string, t string")
+    got = {r["i"]: r["v"] for r in rows.select("i", X.name_in_text(F.col("n"), F.col("t")).alias("v")).collect()}
+    assert [got[i] for i in range(len(cases))] == [c[2] for c in cases]
+    sections = rows.select(F.lit("b").alias("book"), F.col("i").alias("ord"), F.col("t").alias("body"))
+    hits = docs.body_hits(rows.select(F.col("i").alias("node_id"), F.col("n").alias("name")), sections).where("node_id = ord").collect()
+    assert sorted(r["node_id"] for r in hits) == [i for i, c in enumerate(cases) if c[2]]
+
+
+def test_overlap_with_neighbours_whose_names_end_in_a_mark(spark):
+    compare(spark, "/root/testdata/sf0.01", Q.QUERIES["node_signals"], Q.SQL["node_signals"])
