@@ -33,6 +33,10 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: Spark's switch that removes the shuffle files of a statement when it ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Work:
     """Tables written to the shared folder, which cut lineage and survive lost executors."""
 
@@ -40,10 +44,16 @@ class Work:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
 
-    def table(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    def table(self, df: DataFrame, name: str, compression: str = "snappy", free: bool = False) -> DataFrame:
+        """``df``, written and read again; ``free`` removes the write's shuffle files when it ends, whenever garbage is collected."""
         self.made += 1
         path = f"{self.root}/{self.made}-{name}"
-        df.write.parquet(path, compression=compression)
+        before = self.spark.conf.get(FREE_SHUFFLES, "false")
+        self.spark.conf.set(FREE_SHUFFLES, "true" if free else before)
+        try:
+            df.write.parquet(path, compression=compression)
+        finally:
+            self.spark.conf.set(FREE_SHUFFLES, before)
         # Shuffle files of finished queries go when the driver's garbage is collected.
         gc.collect()
         self.spark._jvm.System.gc()

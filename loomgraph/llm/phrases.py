@@ -247,7 +247,8 @@ def phrase_dedup(docs: DataFrame, work: Work, text: str = "text", key: str = "do
     phrases found are compared by 96-bit hash, and those whose first document
     is an earlier one go.  Hashes are grouped with partial aggregation, and
     classes with a large share of all rows are joined by broadcast, so a
-    passage that a third of all documents hold meets in no single task.
+    passage that a third of all documents hold meets in no single task.  Each
+    step's shuffle files go when its table is written, so no two steps' are on disk at once.
 
     A null text has no words.  Rows with a null id neither lose words nor cause
     a loss.  Repeated rows of one id are judged alike, and several texts of one
@@ -256,11 +257,11 @@ def phrase_dedup(docs: DataFrame, work: Work, text: str = "text", key: str = "do
     columns are ignored.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("x"), F.col(text).cast("string").alias("text"))
-    base = work.table(described(rows), "described")
+    base = work.table(described(rows), "described", free=True)
     named = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     long = base.where((F.col("n_words") >= WINDOW) & F.col("doc_id").isNotNull())
     texts = long.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "x")).alias("rep"), F.first("n_bytes").alias("n_bytes"), F.first("anchors").alias("anchors"), F.first("places").alias("places"))
-    texts = work.table(texts.select("d1", "d2", "rep.*", "n_bytes", "anchors", "places"), "texts")
+    texts = work.table(texts.select("d1", "d2", "rep.*", "n_bytes", "anchors", "places"), "texts", free=True)
     size = texts.agg(F.sum("n_bytes")).first()[0] or 0
     groups = max(1, size // GROUP_BYTES)
     parts = min(groups, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES))
@@ -268,19 +269,19 @@ def phrase_dedup(docs: DataFrame, work: Work, text: str = "text", key: str = "do
     posted = texts.select("doc_id", "x", F.explode(F.arrays_zip(F.col("anchors").alias("anchor"), F.col("places").alias("place"))).alias("p")).select("doc_id", "x", "p.*")
     homes = posted.groupBy("anchor").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "x", "place")]).where("n > 1")
     homes = homes.groupBy("doc_id", "x").agg(F.collect_list(F.struct("anchor", "place")).alias("found"))
-    confirmed = work.table(passages(named.join(homes, ["doc_id", "x"]).select("text", "found")).dropDuplicates(["anchor"]), "confirmed")
+    confirmed = work.table(passages(named.join(homes, ["doc_id", "x"]).select("text", "found")).dropDuplicates(["anchor"]), "confirmed", free=True)
     needed = posted.select(grp.alias("grp"), "anchor").distinct().join(confirmed, "anchor")
     columns = {"grp": "int", "kind": "int", "doc_id": "long", "x": "long", "text": "string", "phrase": "binary"}
     part = lambda df, kind: df.withColumn("kind", F.lit(kind)).select(*[(F.col(c) if c in (*df.columns, "kind") else F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
     streams = part(texts.withColumn("grp", grp).select("grp", "doc_id", "x"), 0).union(part(needed, 1)).union(part(named.withColumn("grp", grp), 2))
-    found = work.table(located(streams.repartition(parts, "grp").sortWithinPartitions("grp", "kind")), "located")
+    found = work.table(located(streams.repartition(parts, "grp").sortWithinPartitions("grp", "kind")), "located", free=True)
     once, again = found.where("h1 IS NOT NULL").select("h1", "h2", "doc_id", "x", "place"), found.where("again IS NOT NULL").select("doc_id", "x", F.col("place").alias("repeat"), F.col("again").alias("place"))
-    earliest = work.table(once.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").select("h1", "h2", "first", "n"), "earliest")
+    earliest = work.table(once.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").select("h1", "h2", "first", "n"), "earliest", free=True)
     total = earliest.agg(F.sum("n")).first()[0] or 0
-    later = work.table(with_class(once, earliest, ["h1", "h2"], "n", total).where(F.col("doc_id") > F.col("first")).select("doc_id", "x", "place"), "later")
+    later = work.table(with_class(once, earliest, ["h1", "h2"], "n", total).where(F.col("doc_id") > F.col("first")).select("doc_id", "x", "place"), "later", free=True)
     repeats = again.join(later, ["doc_id", "x", "place"]).select("doc_id", "x", F.col("repeat").alias("place"))
     starts = later.union(repeats).groupBy("doc_id", "x").agg(F.collect_set("place").alias("starts"))
-    flagged = work.table(cut(found.where("text IS NOT NULL").select("doc_id", "x", "text").join(starts, ["doc_id", "x"])), "cut")
+    flagged = work.table(cut(found.where("text IS NOT NULL").select("doc_id", "x", "text").join(starts, ["doc_id", "x"])), "cut", free=True)
     work.drop(found, confirmed, earliest, later)
     copy = (F.col("n_words") >= WINDOW) & (F.col("rep") < F.col("doc_id"))
     # Texts of the same words differ in x where their white space does, so the answer goes by the words' digest.

@@ -2,8 +2,11 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import textwrap
+import time
+import types
 import zlib
 from pathlib import Path
 
@@ -524,6 +527,30 @@ def test_phrases_with_one_id_for_two_texts(spark):
     assert rows_of(phrases.phrase_dedup(rows, Work(spark, "t")), "doc_id", "n_words", "n_removed") == [(1, 60, 0), (2, 60, 0), (2, 61, 60), (3, 61, 60)]
 
 
+def test_phrases_leave_no_shuffle_files_of_finished_steps(spark):
+    env = spark._jvm.org.apache.spark.SparkEnv.get().blockManager()
+    blocks = lambda: {x for x in env.diskBlockManager().getAllBlocks().mkString(" ").split() if x.endswith(".data")}
+    size = lambda names: sum(os.path.getsize(f) for f in env.diskBlockManager().getAllFiles().mkString(" ").split() if os.path.basename(f) in names)
+
+    class Watched(Work):
+        def table(self, *args, **kwargs):
+            out, end = super().table(*args, **kwargs), time.monotonic() + 10
+            while size(blocks() - before) > 20_000 and time.monotonic() < end:
+                time.sleep(0.2)
+            left.append(size(blocks() - before))
+            return out
+
+    passages = [" ".join(f"p{i}w{k}" for k in range(60)) for i in range(40)]
+    rows = [(i, " ".join([*(f"d{i}w{k}" for k in range(200)), passages[i % 40]])) for i in range(400)]
+    work, left = Watched(spark, "t"), []
+    jvm = types.SimpleNamespace(System=types.SimpleNamespace(gc=lambda: None), org=spark._jvm.org)  # garbage is not collected
+    work.spark = types.SimpleNamespace(read=spark.read, conf=spark.conf, _jvm=jvm, _jsc=spark._jsc)
+    before = blocks()
+    out = phrases.phrase_dedup(spark.createDataFrame(rows, "doc_id long, text string"), work)
+    assert rows_of(out, "doc_id", "n_removed") == sorted(((i, 60 if i >= 40 else 0) for i in range(400)), key=repr)
+    assert len(left) == 7 and max(left) < 20_000
+
+
 # --- language and vectors -------------------------------------------------------------------------
 
 
