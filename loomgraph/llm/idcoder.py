@@ -29,16 +29,24 @@ from .common import Work
 from .tokens import encoder
 
 MAGIC = b"LOOMIDS2"
-#: Ids of a block, and blocks of a segment (the unit that is coded in one go).
-BLOCK, LANES = 2048, 2048
+#: Ids of a block, and blocks of a segment (the unit that is coded in one go; few lanes cost more for each id).
+BLOCK, LANES = 2048, 4096
 #: log2 of the total of the trust weights, and of the slots of the two context tables.
 MIX, SLOTS1, SLOTS2 = 12, 9, 10
 #: Trust moves by 2**-RATE of the way towards each outcome.
 RATE = 5
 #: The name of a file in its path.
 NAME = "part-[0-9]+-[0-9]+[.]ids"
+#: Steps whose contexts the encoder finds at once.
+AHEAD = 16
 U64, U32 = np.uint64, np.uint32
-_WORD, _LOW = U64(32), U64(0xFFFFFFFF)
+# Constants as arrays: an operation with a scalar takes longer to begin.
+_WORD, _LOW = np.array(32, dtype=U64), np.array(0xFFFFFFFF, dtype=U64)
+_1, _2, _3, _16, _FULL = (np.array(x, dtype=U32) for x in (1, 2, 3, 16, 0xFFFF))
+_H1, _H2, _H3 = (np.array(x, dtype=U32) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
+_TOPS, _HALVES = np.array([[32 - SLOTS1], [32 - SLOTS2]], dtype=U32), np.array([[0], [16]], dtype=U32)
+_TOTAL, _SHARE2, _SHARE1 = (np.array((1 << MIX) - x, dtype=U32) for x in (0, 4, 2))
+_RATE, _SIGN = np.array(RATE, dtype=np.int32), np.array(31, dtype=np.int32)
 
 
 def order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
@@ -59,76 +67,137 @@ def order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
     return seen.astype(U32), scaled.astype(U32), bits, which
 
 
+def _mask(x: np.ndarray) -> np.ndarray:
+    """All bits where ``x`` (below 2**31) is 0, else none."""
+    return ((x - _1).view(np.int32) >> _SIGN).view(U32)
+
+
+def _pick(mask: np.ndarray, yes: np.ndarray, no: np.ndarray) -> np.ndarray:
+    """``yes`` where all bits of the mask are set, else ``no``; cheaper than np.where."""
+    out = yes ^ no
+    out &= mask
+    out ^= no
+    return out
+
+
 class Model:
     """What both directions share: the contexts and trust of all lanes.
 
-    A context slot holds a predicted id and its confidence (two low bits).
-    ``right2`` and ``right1`` estimate, in 16 bits, how often order 2 is right
-    and how often order 1 is where order 2 is not.
+    A context slot holds a predicted id (below 2**30) and its confidence (two
+    low bits).  ``trust`` estimates, in 16 bits each, how often order 2 is
+    right (high half) and how often order 1 is where order 2 is not.  Arrays of
+    two rows have order 1 in the first and order 2 in the second.  An operation
+    takes about as long to begin as for a thousand lanes, so both orders share
+    one; numbers are 32 bits wide wherever they fit, and bit masks choose.
     """
 
     def __init__(self, lanes: int):
-        lane = np.arange(lanes)
-        self.base1, self.base2, self.base = lane << SLOTS1, lane << SLOTS2, lane << 5
-        self.t1, self.t2 = np.zeros(lanes << SLOTS1, dtype=U32), np.zeros(lanes << SLOTS2, dtype=U32)
-        self.right2, self.right1 = np.full(lanes << 5, 1 << 13, dtype=np.int32), np.full(lanes << 5, 1 << 13, dtype=np.int32)
-        self.prev1, self.prev2 = np.zeros(lanes, dtype=U32), np.zeros(lanes, dtype=U32)
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """Shares of 2**MIX for the ids that order 2 and order 1 predict (p2, p1); the rest is order 0's."""
-        h1 = self.prev1 * U32(0x9E3779B1)
-        h2 = (h1 ^ (self.prev2 * U32(0x85EBCA77))) * U32(0xC2B2AE3D)
-        self.at1, self.at2 = self.base1 + (h1 >> U32(32 - SLOTS1)), self.base2 + (h2 >> U32(32 - SLOTS2))
-        self.e1, self.e2 = self.t1.take(self.at1, mode="clip"), self.t2.take(self.at2, mode="clip")
-        self.p1, self.p2 = self.e1 >> U32(2), self.e2 >> U32(2)
-        self.k1, self.k2 = self.e1 & U32(3), self.e2 & U32(3)
-        same = self.p1 == self.p2
-        self.ctx = self.base + (((self.k2 << U32(2)) | self.k1) << U32(1) | same)
-        self.q2, self.q1 = self.right2.take(self.ctx, mode="clip"), self.right1.take(self.ctx, mode="clip")
-        w2 = 1 + ((self.q2 * ((1 << MIX) - 4)) >> 16)
-        w1 = (1 + (((1 << MIX) - 2 - w2) * self.q1 >> 16)) * ~same
+        lane = np.arange(lanes, dtype=U32)
+        self.base, self.of_trust = np.stack([lane << U32(SLOTS1), U32(lanes << SLOTS1) + (lane << U32(SLOTS2))]), lane << U32(5)
+        self.slot = np.zeros(lanes * ((1 << SLOTS1) + (1 << SLOTS2)), dtype=U32)
+        self.trust = np.full(lanes << 5, 1 << 29 | 1 << 13, dtype=U32)
+
+    def slots(self, prev1: np.ndarray, prev2: np.ndarray) -> np.ndarray:
+        """Where the contexts of the last id, and of the last two, are; for one step or several."""
+        h = np.empty((*prev1.shape[:-1], 2, prev1.shape[-1]), dtype=U32)
+        h1, h2 = h[..., 0, :], h[..., 1, :]
+        np.multiply(prev1, _H1, out=h1)
+        np.multiply(prev2, _H2, out=h2)
+        h2 ^= h1
+        h2 *= _H3
+        h >>= _TOPS
+        h += self.base
+        return h.astype(np.intp)
+
+    def predict(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shares of 2**MIX for the ids that order 2 and order 1 predict (p[1], p[0]); the rest is order 0's."""
+        self.at, self.entry = at, self.slot.take(at, mode="clip")
+        self.p, self.sure = self.entry >> _2, self.entry & _3
+        same = self.p[0] == self.p[1]
+        ctx = self.sure[1] << _2
+        ctx |= self.sure[0]
+        ctx <<= _1
+        ctx |= same
+        ctx |= self.of_trust
+        self.ctx = ctx.astype(np.intp)
+        self.q = self.trust.take(self.ctx, mode="clip") >> _HALVES
+        self.q &= _FULL
+        w2 = self.q[1] * _SHARE2
+        w2 >>= _16
+        w2 += _1
+        w1 = _SHARE1 - w2
+        w1 *= self.q[0]
+        w1 >>= _16
+        w1 += _1
+        w1 *= ~same
         return w2, w1
 
-    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        self.right2[self.ctx] = self.q2 + ((hit2 * np.int32(0xFFFF) - self.q2) >> RATE)
-        self.right1[self.ctx] = self.q1 + (((hit1 * np.int32(0xFFFF) - self.q1) >> RATE) * ~hit2)
-        new = ids << U32(2)
-        for t, at, e, k, hit in ((self.t1, self.at1, self.e1, self.k1, hit1), (self.t2, self.at2, self.e2, self.k2, hit2)):
-            t[at] = np.where(hit, e + (k < U32(3)), np.where(k == 0, new, e - U32(1)))
-        self.prev2, self.prev1 = self.prev1, ids
+    def update(self, ids: np.ndarray, hit: np.ndarray) -> None:
+        """Learns the ids; the masks ``hit`` tell where they are p."""
+        move = hit & _FULL
+        move -= self.q
+        way = move.view(np.int32)
+        way >>= _RATE
+        move[0] &= ~hit[1]
+        self.q += move
+        trust = self.q[1] << _16
+        trust |= self.q[0]
+        self.trust[self.ctx] = trust
+        self.slot[self.at] = _pick(hit, self.entry + (self.sure < _3), _pick(_mask(self.sure), ids << _2, self.entry - _1))
+
+
+def _renormalise(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Shifts a word out of intervals of at most 32 bits, in place; one that reaches into the next word is cut there."""
+    word = low >> _WORD
+    cross = (((low + span) >> _WORD) != word).nonzero()[0]
+    if len(cross):
+        span[cross] = np.negative(low[cross]) & _LOW
+    low <<= _WORD
+    span <<= _WORD
+    return word.astype(U32)
 
 
 def encode_blocks(blocks: np.ndarray, rank: np.ndarray, freq: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Words of all lanes one after another, and how many each has; blocks is (BLOCK, lanes)."""
     steps, lanes = blocks.shape
-    model, shift = Model(lanes), U64(MIX + bits)
-    start0 = (np.cumsum(freq) - freq).astype(U64)
-    freq, one = freq.astype(U64), U64(bits)
+    model, shift, one = Model(lanes), np.array(MIX + bits, dtype=U64), np.array(bits, dtype=U32)
+    start0, certain = np.cumsum(freq, dtype=U32) - freq, np.array(1 << bits, dtype=U32)
     low, span = np.zeros(lanes, dtype=U64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=U64)
+    # Here all ids are known, so what doesn't depend on the model is found for AHEAD steps at once.
+    before = np.zeros((2, lanes), dtype=U32)
     words, whose = [], []
     for t in range(steps):
+        i = t % AHEAD
+        if not i:
+            before = np.concatenate([before[-2:], blocks[t : t + AHEAD]])
+            slots = model.slots(before[1:-1], before[:-2])
+            which = rank[t : t + AHEAD].astype(np.intp)
+            starts, sizes = start0.take(which, mode="clip"), freq.take(which, mode="clip") - certain
         ids = blocks[t]
-        w2, w1 = model.predict()
-        which = rank[t]
-        hit2, hit1 = ids == model.p2, ids == model.p1
-        w2, w1 = w2.astype(U64), w1.astype(U64)
-        both = w2 + w1
-        w0 = U64(1 << MIX) - both
-        w2 <<= one
-        at = np.where(hit2, U64(0), np.where(hit1, w2, (both << one) + w0 * start0.take(which, mode="clip")))
-        size = np.where(hit2, w2, np.where(hit1, w1 << one, w0 * freq.take(which, mode="clip")))
+        w2, w1 = model.predict(slots[i])
+        w0 = _TOTAL - w2
+        w0 -= w1
+        hit = _mask(ids ^ model.p)
+        is1, is2 = hit
+        not2, none = ~is2, ~(is2 | is1)
+        at = w1 & none
+        at += w2
+        at &= not2
+        at <<= one
+        at += w0 * (starts[i] & none)
+        size = _pick(is2, w2, _pick(is1, w1, w0))
+        size *= (sizes[i] & none) + certain
         unit = span >> shift
-        low += unit * at
-        span = unit * size
-        need = np.flatnonzero(span <= _LOW)
+        low += unit * at.astype(U64)
+        span = unit
+        span *= size.astype(U64)
+        need = (span <= _LOW).nonzero()[0]
         if len(need):
             lo, sp = low[need], span[need]
-            cross = (lo ^ (lo + sp)) >> _WORD != 0
-            sp = np.where(cross, (U64(0) - lo) & _LOW, sp)
-            words.append((lo >> _WORD).astype(U32))
+            words.append(_renormalise(lo, sp))
             whose.append(need.astype(np.uint16))
-            low[need], span[need] = lo << _WORD, sp << _WORD
-        model.update(ids, hit2, hit1)
+            low[need], span[need] = lo, sp
+        model.update(ids, hit)
     for part in (low >> _WORD, low & _LOW):
         words.append(part.astype(U32))
         whose.append(np.arange(lanes, dtype=np.uint16))
@@ -139,41 +208,53 @@ def encode_blocks(blocks: np.ndarray, rank: np.ndarray, freq: np.ndarray, bits:
 def decode_blocks(words: np.ndarray, first: np.ndarray, steps: int, seen: np.ndarray, freq: np.ndarray, bits: int) -> np.ndarray:
     """The ids (steps, lanes) of lanes whose words begin at ``first``."""
     lanes = len(first)
-    model, shift = Model(lanes), U64(MIX + bits)
-    start0 = (np.cumsum(freq) - freq).astype(U64)
-    owner = np.repeat(np.arange(len(seen)), freq)
-    freq, one = freq.astype(U64), U64(bits)
-    top = U64((1 << (MIX + bits)) - 1)
+    model, shift, one = Model(lanes), np.array(MIX + bits, dtype=U64), np.array(bits, dtype=U32)
+    start0 = np.cumsum(freq, dtype=U32) - freq
+    owner = np.repeat(np.arange(len(seen), dtype=np.uint16 if len(seen) <= 1 << 16 else U32), freq)  # small, to stay in the cache
+    top = np.array((1 << (MIX + bits)) - 1, dtype=U64)
     words = np.append(words, np.zeros(2, dtype=U32)).astype(U64)
     low, span = np.zeros(lanes, dtype=U64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=U64)
     code, at_word = (words[first] << _WORD) | words[first + 1], first + 2
-    out = np.empty((steps, lanes), dtype=U32)
+    out, prev1, prev2 = np.empty((steps, lanes), dtype=U32), np.zeros(lanes, dtype=U32), np.zeros(lanes, dtype=U32)
     for t in range(steps):
-        w2, w1 = model.predict()
-        w2, w1 = w2.astype(U64), w1.astype(U64)
+        w2, w1 = model.predict(model.slots(prev1, prev2))
         both = w2 + w1
-        w0 = U64(1 << MIX) - both
-        w2, w1, both = w2 << one, w1 << one, both << one
+        w0 = _TOTAL - both
+        w2 <<= one
+        w1 <<= one
+        both <<= one
         unit = span >> shift
-        value = np.minimum((code - low) // unit, top)
-        hit2, hit1 = value < w2, value < both
+        value = code - low
+        value //= unit
+        value = np.minimum(value, top, out=value).astype(U32)
+        in2 = value < w2
+        not2 = in2.astype(U32)
+        not2 -= _1
+        is2 = ~not2
+        ids, at, size = _pick(is2, model.p[1], model.p[0]), w2 & not2, _pick(is2, w2, w1)
+        none = (value >= both).nonzero()[0]  # order 0's
+        edge, own = both[none], w0[none]
         # Exact in double precision: both numbers are far below 2**53.
-        which = owner.take(((value - np.minimum(both, value)).astype(np.float64) / w0).astype(np.int64), mode="clip")
-        ids = np.where(hit2, model.p2, np.where(hit1, model.p1, seen.take(which, mode="clip")))
-        at = np.where(hit2, U64(0), np.where(hit1, w2, both + w0 * start0.take(which, mode="clip")))
-        size = np.where(hit2, w2, np.where(hit1, w1, w0 * freq.take(which, mode="clip")))
-        low += unit * at
-        span = unit * size
-        need = np.flatnonzero(span <= _LOW)
+        which = owner.take(((value[none] - edge) / own).astype(np.intp), mode="clip").astype(np.intp)
+        ids[none] = seen.take(which, mode="clip")
+        at[none] = edge + own * start0.take(which, mode="clip")
+        size[none] = own * freq.take(which, mode="clip")
+        low += unit * at.astype(U64)
+        span = unit
+        span *= size.astype(U64)
+        need = (span <= _LOW).nonzero()[0]
         if len(need):
             lo, sp = low[need], span[need]
-            cross = (lo ^ (lo + sp)) >> _WORD != 0
-            sp = np.where(cross, (U64(0) - lo) & _LOW, sp)
-            code[need] = (code[need] << _WORD) | words.take(at_word[need], mode="clip")
-            at_word[need] += 1
-            low[need], span[need] = lo << _WORD, sp << _WORD
-        model.update(ids, ids == model.p2, ids == model.p1)
+            _renormalise(lo, sp)
+            next_word = at_word[need]
+            fresh = code[need]
+            fresh <<= _WORD
+            fresh |= words.take(next_word, mode="clip")
+            next_word += 1
+            code[need], at_word[need], low[need], span[need] = fresh, next_word, lo, sp
+        model.update(ids, _mask(ids ^ model.p))
         out[t] = ids
+        prev2, prev1 = prev1, ids
     return out
 
 
@@ -189,11 +270,12 @@ def encode_segment(keys: np.ndarray, n_tokens: np.ndarray, ids: np.ndarray, null
     head = MAGIC + struct.pack("<QQII", len(keys), len(ids), BLOCK, n_blocks) + _packed(keys.astype("<i8")) + _packed(np.packbits(null)) + _packed(n_tokens.astype("<u4"))
     if not n_blocks:
         return head
-    padded = np.append(ids, np.full(n_blocks * BLOCK - len(ids), ids[-1], dtype=U32)).astype(U32)
+    padded = np.full(n_blocks * BLOCK, ids[-1], dtype=U32)
+    padded[: len(ids)] = ids
     seen, freq, bits, which = order0(padded)
     sides = lambda x: np.ascontiguousarray(x.reshape(n_blocks, BLOCK).T)
     words, n_words = encode_blocks(sides(padded), sides(which), freq, bits)
-    plain = np.ascontiguousarray(ids, dtype="<u4").tobytes()
+    plain = memoryview(np.ascontiguousarray(ids, dtype="<u4")).cast("B")
     crc = np.array([zlib.crc32(plain[4 * BLOCK * i : 4 * BLOCK * (i + 1)]) for i in range(n_blocks)], dtype="<u4")
     table = struct.pack("<I", bits) + _packed(np.diff(seen, prepend=U32(0)).astype("<u4")) + _packed(freq.astype("<u4"))
     return head + table + _packed(n_words.astype("<u4")) + crc.tobytes() + words.astype("<u4").tobytes()

@@ -189,6 +189,29 @@ def test_id_files(spark, docs, odd, monkeypatch):
     assert [i for _, _, ids in stored for i in ids.tolist()] == [i for r in got for i in r[4]]
 
 
+def test_id_segment_keeps_its_bytes():
+    i = np.arange(30_000)
+    ids = np.where(i % 5 < 2, i % 300, i * i % 49_999).astype(np.uint32)
+    ids[20_000:20_010] = (1 << 30) - 1
+    body = idcoder.encode_segment(np.array([7, 9]), np.array([10_000, 20_000]), ids)
+    assert hashlib.sha256(body).hexdigest() == "6c67ee51c3fe3321fe7ecdbba3994f0cb17016b5ba85052f1026c7f301136f63"
+    assert (idcoder.decode_segment(body)[2] == ids).all()
+
+
+def test_ids_of_one_task_are_coded_in_one_go(spark):
+    """Tasks of the check have about six million ids; two segments for them would cost nearly twice the steps."""
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        files = idcoder.write_ids(spark.range(5).select(F.col("id").alias("doc_id"), F.expr("repeat('the of and ', 350000)").alias("text")), Work(spark, "t"), Q.tokenizer())
+        want = [*encoder(Q.tokenizer()).tokenizer.encode("the of and", add_special_tokens=False).ids * 350_000, 2]
+        assert [(r["n_docs"], r["n_ids"]) for r in files.collect()] == [(5, 5 * len(want))] and len(want) > 1_000_000
+        got = idcoder.read_ids(files).orderBy("doc_id").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert [tuple(r) for r in got] == [(d, d * len(want), len(want), crc(want)) for d in range(5)]
+
+
 # --- audio and licences ---------------------------------------------------------------------------
 
 
