@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import itertools
-import tempfile
-import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from . import parts
+from .work import saved, work_path  # noqa: F401
 
 
 def live(edges: DataFrame, *types: str) -> DataFrame:
@@ -18,24 +18,6 @@ def live(edges: DataFrame, *types: str) -> DataFrame:
     return out.where(F.col("type").isin(*types)) if types else out
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder in spark.checkpoint.dir; only local sessions without one get a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` written to the folder in spark.checkpoint.dir and read again, which cuts its lineage."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def numbered(rows: DataFrame, top: int, *order: str, column: str = "id") -> DataFrame:
     """``rows`` with ids from ``top`` + 1 in the order of some columns, which tell rows apart.
 
@@ -59,15 +41,32 @@ def degree(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node_id").agg(F.count("*").alias("degree"))
 
 
+def _links(links: DataFrame) -> DataFrame:
+    """(type, src, dst) of links of one type."""
+    return links.select(F.lit("").alias("type"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+
+
 def closure(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """(src, dst, depth): nodes that a path of 1 or more links reaches, with the shortest depth.
 
-    A frontier goes one link further each round and drops pairs already
-    reached, so cycles end.  Rounds are cut at written tables.  ``start`` (src)
-    limits the sources, so that one question doesn't compute all pairs.
+    Connected parts of up to ``parts.SQUARE`` links are walked whole in one
+    task each, larger ones a link further each round.  ``start`` (src) limits
+    the sources, so that one question doesn't compute all pairs.
     """
+    rows = _links(links)
+    if start is None:
+        rows = rows.withColumn("asked", F.lit(True))
+    else:
+        rows = rows.join(start.select(F.col("src").cast("long").alias("src"), F.lit(True).alias("asked")).distinct(), "src", "left").select("type", "src", "dst", F.coalesce("asked", F.lit(False)).alias("asked"))
+    small, large = parts.split(rows, parts.SQUARE)
+    out = parts.settled(small, parts.reached, "src long, dst long, depth int")
+    return out if large is None else out.union(_walked(large, large.where("asked").select("src")))
+
+
+def _walked(links: DataFrame, start: DataFrame) -> DataFrame:
+    """``closure`` by rounds: a frontier goes one link further each time and drops pairs already reached, so cycles end."""
     step = saved(links.select("src", "dst").distinct(), "links")
-    reached = step if start is None else step.join(start.select("src").distinct(), "src", "left_semi")
+    reached = step.join(start.distinct(), "src", "left_semi").select("src", "dst")
     reached = frontier = saved(reached.withColumn("depth", F.lit(1)), "reached")
     hop = step.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
     for depth in itertools.count(2):
@@ -96,14 +95,28 @@ def _core(links: DataFrame) -> DataFrame:
     return core
 
 
-def cycle_edges(edges: DataFrame, edge_type: str) -> DataFrame:
-    """(src, dst): live edges of a type that lie on a cycle; a canonical form of all its cycles.
+def cycle_links(links: DataFrame) -> DataFrame:
+    """``links`` (type, src, dst, ...) that lie on a cycle of their type.
 
-    Nodes off every cycle go first, so the closure is taken of the core only.
+    Connected parts of up to ``parts.LINEAR`` links are settled in one task
+    each.  In larger ones nodes off every cycle go first, so the closure is
+    taken of the core only.
     """
-    core = _core(live(edges, edge_type))
-    back = closure(core).select(F.col("src").alias("dst"), F.col("dst").alias("src"))
-    return core.join(back, ["src", "dst"], "left_semi")
+    small, large = parts.split(links, parts.LINEAR)
+    out = parts.settled(small, parts.cycle_links, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in small.schema)).select(*links.columns)
+    if large is None:
+        return out
+    for kind in sorted(r["type"] for r in large.select("type").distinct().collect()):
+        rows = large.where(F.col("type") == kind)
+        core = _core(rows)
+        back = _walked(core, core.select("src")).select(F.col("src").alias("dst"), F.col("dst").alias("src"))
+        out = out.union(rows.join(core.join(back, ["src", "dst"], "left_semi"), ["src", "dst"], "left_semi").select(*links.columns))
+    return out
+
+
+def cycle_edges(edges: DataFrame, *types: str) -> DataFrame:
+    """(type, src, dst): live edges of some types that lie on a cycle; a canonical form of all their cycles."""
+    return cycle_links(live(edges, *types).select("type", "src", "dst")).distinct()
 
 
 def cycle_nodes(edges: DataFrame, edge_type: str) -> DataFrame:
@@ -114,18 +127,24 @@ def redundant(links: DataFrame) -> DataFrame:
     """(src, dst): direct links that a path through other nodes makes needless.
 
     The path leaves src by another link and meets neither src nor dst on its
-    way; loops are left to the cycle guard.  All (src, at) pairs are walked
-    first.  Where dst lies on no cycle, arriving there by another link is
-    proof; the few other pairs are walked again with dst closed.
+    way; loops are left to the cycle guard.  Connected parts of up to
+    ``parts.SQUARE`` links are settled whole in one task each.  In larger ones
+    all (src, at) pairs are walked first; where dst lies on no cycle, arriving
+    there by another link is proof, and the few other pairs are walked again
+    with dst closed.
     """
-    step = saved(links.select("src", "dst").distinct().where("src <> dst"), "links")
+    small, large = parts.split(_links(links).where("src <> dst"), parts.SQUARE)
+    out = parts.settled(small, parts.needless, "src long, dst long")
+    if large is None:
+        return out
+    step = saved(large.select("src", "dst").distinct(), "links")
     hop = step.select(F.col("src").alias("at"), F.col("dst").alias("next"))
     start = step.select("src", F.col("dst").alias("at"))
     likely = _arrivals(start, hop, step, ["src"])
     turning = _core(step).select("dst").distinct()
     doubtful = likely.join(turning, "dst", "left_semi")
     again = doubtful.select("src", "dst").join(start, "src").where("at <> dst").select("src", "dst", "at")
-    return likely.join(turning, "dst", "left_anti").select("src", "dst").union(_arrivals(again, hop, doubtful, ["src", "dst"]))
+    return out.union(likely.join(turning, "dst", "left_anti").select("src", "dst")).union(_arrivals(again, hop, doubtful, ["src", "dst"]))
 
 
 def _arrivals(start: DataFrame, hop: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from .. import schema as S
 from ..functions import rules as R
 from ..functions import text as X
 from ..functions.text import name_in_text
-from . import graph, mining
+from . import graph, mining, parts
 from .docs import toc_vote
 from .names import node_names, with_names
 
@@ -136,24 +136,28 @@ def eligible_edges(nodes: DataFrame, edges: DataFrame, signals: DataFrame, appro
 def without_cycles(eligible: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, decision): approvals in id order, none of which closes a cycle with live edges and earlier approvals; else hold.
 
-    A round settles a whole prefix of the order: all edges up to the first one
-    that would close a cycle with what is live and eligible before it.  Only
-    that id reaches the driver.  Every round holds one edge, so rounds are as
-    many as held edges.
+    Only edges that lie on a cycle once all are approved can close one.
+    Connected parts of those, of up to ``parts.SQUARE`` links, are settled in
+    one task each.  In larger parts a round settles a whole prefix of the
+    order: all edges up to the first one that would close a cycle with what is
+    live and eligible before it, so rounds are as many as edges held there.
     """
+    asked = graph.saved(eligible.where((F.col("decision") == "approve") & F.col("type").isin(*S.ACYCLIC_TYPES)).select("type", "src", "dst", "id"), "asked")
     plain = eligible.where((F.col("decision") == "reject") | ~F.col("type").isin(*S.ACYCLIC_TYPES)).select("id", "decision")
-    parts = [plain]
-    for edge_type in S.ACYCLIC_TYPES:
-        todo = graph.saved(eligible.where((F.col("decision") == "approve") & (F.col("type") == edge_type)).select("id", "src", "dst"), "todo")
-        base = graph.live(edges, edge_type).select("src", "dst")
-        while (bad := first_closing(todo, base)) is not None:
-            parts.append(todo.where(F.col("id") == bad).select("id", F.lit("hold").alias("decision")))
-            todo = graph.saved(todo.where(F.col("id") != bad), "todo")
-        parts.append(todo.select("id", F.lit("approve").alias("decision")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    links = graph.live(edges, *S.ACYCLIC_TYPES).select("type", "src", "dst", F.lit(None).cast("long").alias("id")).union(asked)
+    small, large = parts.split(graph.cycle_links(links), parts.SQUARE)
+    held = parts.settled(small, parts.held, "id long")
+    if large is not None:
+        large = graph.saved(large, "large")
+        for edge_type in S.ACYCLIC_TYPES:
+            rows = large.where(F.col("type") == edge_type)
+            todo, base = graph.saved(rows.where("id IS NOT NULL").select("id", "src", "dst"), "todo"), rows.where("id IS NULL").select("src", "dst")
+            while (bad := first_closing(todo, base)) is not None:
+                held = held.union(todo.where(F.col("id") == bad).select("id"))
+                todo = graph.saved(todo.where(F.col("id") != bad), "todo")
+    held = graph.saved(held, "held")
+    settled = asked.join(held.withColumn("decision", F.lit("hold")), "id", "left").select("id", F.coalesce("decision", F.lit("approve")).alias("decision"))
+    return plain.union(settled)
 
 
 def first_closing(todo: DataFrame, base: DataFrame) -> int | None:
