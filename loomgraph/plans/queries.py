@@ -93,9 +93,7 @@ SELECT DISTINCT l.type, l.src, l.dst FROM live l JOIN r ON r.type = l.type AND r
     V.SQL_EDGES,
 )
 def cycle_edges(spark, sf):
-    e = V.edges(spark, sf)
-    parts = [graph.cycle_edges(e, t).select(F.lit(t).alias("type"), "src", "dst") for t in S.ACYCLIC_TYPES]
-    return parts[0].union(parts[1]).union(parts[2])
+    return graph.cycle_edges(V.edges(spark, sf), *S.ACYCLIC_TYPES)
 
 
 @query(

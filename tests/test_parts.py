@@ -53,6 +53,17 @@ def test_holds_are_greedy(spark, monkeypatch, most):
     assert held and out == {1: "approve", 2: "reject", 3: "approve"} | {i: "hold" if i in held else "approve" for i, _, _ in todo}
 
 
+def chain(spark, n):
+    return [(i, i + 1) for i in range(n)]
+
+
+def test_long_paths_take_no_round_for_each_link(spark):
+    links = [*chain(spark, 40), (38, 36)]
+    edges = make_edges(spark, [(a, b, "is_a", "seed") for a, b in links] + [(a, b, "part_of", "seed") for a, b in links[:-1]])
+    rows, n = jobs(spark, lambda: graph.cycle_edges(edges, *S.ACYCLIC_TYPES))
+    assert {(r["type"], r["src"], r["dst"]) for r in rows} == {("is_a", 36, 37), ("is_a", 37, 38), ("is_a", 38, 36)} and n < 30
+
+
 def test_large_parts_give_the_same(spark, monkeypatch):
     rng = random.Random(2)
     links = sorted({(rng.randint(1, 20), rng.randint(1, 20)) for _ in range(22)})
