@@ -64,6 +64,12 @@ def test_long_paths_take_no_round_for_each_link(spark):
     assert {(r["type"], r["src"], r["dst"]) for r in rows} == {("is_a", 36, 37), ("is_a", 37, 38), ("is_a", 38, 36)} and n < 30
 
 
+def test_redundant_links_of_a_long_path(spark):
+    df = spark.createDataFrame([*chain(spark, 40), (0, 30)], "src long, dst long")
+    rows, n = jobs(spark, lambda: graph.redundant(df))
+    assert {(r["src"], r["dst"]) for r in rows} == {(0, 30)} and n < 30
+
+
 def test_large_parts_give_the_same(spark, monkeypatch):
     rng = random.Random(2)
     links = sorted({(rng.randint(1, 20), rng.randint(1, 20)) for _ in range(22)})
