@@ -70,6 +70,12 @@ def test_redundant_links_of_a_long_path(spark):
     assert {(r["src"], r["dst"]) for r in rows} == {(0, 30)} and n < 30
 
 
+def test_closure_of_a_long_path(spark):
+    df = spark.createDataFrame(chain(spark, 40), "src long, dst long")
+    rows, n = jobs(spark, lambda: graph.closure(df, df.where("src IN (0, 38)").select("src")))
+    assert {(r["src"], r["dst"], r["depth"]) for r in rows} == {(0, i, i) for i in range(1, 41)} | {(38, 39, 1), (38, 40, 2)} and n < 30
+
+
 def test_large_parts_give_the_same(spark, monkeypatch):
     rng = random.Random(2)
     links = sorted({(rng.randint(1, 20), rng.randint(1, 20)) for _ in range(22)})
