@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from html.parser import HTMLParser
 
@@ -149,9 +150,28 @@ def alike(query: pd.Series, title: pd.Series, least: float = TITLE_SIMILARITY) -
     return out
 
 
-@F.pandas_udf(T.BooleanType())
-def alike_titles(query: pd.Series, title: pd.Series) -> pd.Series:
-    return pd.Series(alike(query, title))
+class TitleMatcher:
+    """Finds the names that titles are like: ``similarity`` of TITLE_SIMILARITY or more.
+
+    Lengths rule most pairs out, then shared characters as in ``alike``.
+    """
+
+    def __init__(self, names: list[str]) -> None:
+        self.names, self.sizes = names, [len(x.replace(" ", "")) for x in names]
+        self.lengths, self.counts = _letters(names)
+
+    def matches(self, titles: list[str]) -> Iterator[tuple[str, str]]:
+        titles = sorted(titles, key=lambda t: len(t.replace(" ", "")))
+        sizes = np.array([len(t.replace(" ", "")) for t in titles])
+        lengths, counts = _letters(titles)
+        for k, name in enumerate(self.names):
+            # One size up and down for what is lost by rounding; the test proper follows.
+            lo, hi = np.searchsorted(sizes, [0.59 * self.sizes[k] - 1, self.sizes[k] / 0.59 + 1])
+            near = np.minimum(sizes[lo:hi], self.sizes[k]) >= 0.59 * np.maximum(sizes[lo:hi], self.sizes[k])
+            shared = np.minimum(counts[lo:hi], self.counts[k]).sum(axis=1) if hi > lo else np.zeros(0)
+            for i in np.flatnonzero(near & (2 * shared >= TITLE_SIMILARITY * (self.lengths[k] + lengths[lo:hi]) - 1e-9)) + lo:
+                if similarity(name, titles[i]) >= TITLE_SIMILARITY:
+                    yield name, titles[i]
 
 
 @F.pandas_udf(T.DoubleType())
