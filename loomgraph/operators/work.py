@@ -26,6 +26,6 @@ def saved(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 250) -> None:
     """Bounds what a Python worker holds at once: whole texts travel in batches of ``rows``."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

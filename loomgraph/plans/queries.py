@@ -13,6 +13,7 @@ from ..functions import text as X
 from ..functions import udfs as U
 from ..operators import calibrate, corpus, decisions, dedup, docs, export, graph, guards, ingest, mining, verify
 from ..operators import names as N
+from ..operators.work import small_batches
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -259,6 +260,7 @@ def category_edges(spark, sf):
 
 @query()
 def html_text(spark, sf):
+    small_batches(spark)
     return V.table(spark, sf, "pages").select("page_id", U.html_text("html").alias("text"))
 
 
@@ -321,6 +323,7 @@ def exact_duplicates(spark, sf):
 
 @query()
 def section_chunks(spark, sf):
+    small_batches(spark)
     rows = V.sections(spark, sf).select("id", F.posexplode(U.split_chunks("orig_text")).alias("pos", "chunk"))
     return rows.select("id", "pos", F.length("chunk").alias("n_chars"), X.content_hash(F.col("chunk")).alias("hash"))
 
