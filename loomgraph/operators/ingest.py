@@ -13,6 +13,7 @@ from ..functions.udfs import PICKED_BLOCKS, split_blocks
 from . import graph
 from .dedup import append_missing
 from .names import first_per, name_index, resolve
+from .work import small_batches
 
 #: Schema of an extraction answer.
 ANSWER = (
@@ -28,6 +29,7 @@ def picked_blocks(pages: DataFrame, names: Column, most: int = PICKED_BLOCKS) ->
     The first block stays, others by how often they hold one of ``names``, up
     to ``most``, in text order.  Equal rows are pages of their own.
     """
+    small_batches(pages.sparkSession)
     rows = pages.withColumn("_names", F.transform(F.filter(names, lambda n: F.coalesce(n, F.lit("")) != ""), X.norm)).withColumn("_id", F.monotonically_increasing_id())
     cut = rows.withColumn("_blocks", split_blocks("text"))
     cut = cut.select(*[c for c in cut.columns if c not in ("_blocks", "text")], F.posexplode("_blocks").alias("pos", "block"))
