@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,17 +102,28 @@ def _scored(left: DataFrame, right: DataFrame | None, least: float, k: int | Non
     left = left.where("v IS NOT NULL")
     right = left if same else right.where("v IS NOT NULL")
     n = _blocks(left.count() if same else max(left.count(), right.count()))
-    at = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(n)).cast("int")
-    rows = left.select(at.alias("i"), F.explode(F.sequence(at, F.lit(n - 1)) if same else F.sequence(F.lit(0), F.lit(n - 1))).alias("j"), F.lit(0).alias("side"), "id", "v")
-    two = right.select(F.explode(F.sequence(F.lit(0), at - 1) if same else F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), at.alias("j"), F.lit(1).alias("side"), "id", "v")
-    rows = rows.union(two.where(at > 0) if same else two).select((F.col("i") * n + F.col("j")).alias("pair"), "side", "id", "v")
+    compare = lambda x, y: _compare(x, y, least, same, k)
+    return met(left, None if same else right, "id", n, compare, "a long, b long, similarity double")
+
+
+def met(left: DataFrame, right: DataFrame | None, key: str, n: int, compare: Callable[[pa.Table, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``compare`` makes of every pair of the n blocks of each side, one pair in a task.
+
+    Without ``right`` each pair of blocks of left meets once, and a block
+    meets itself as one and the same table.
+    """
+    same = right is None
+    at = F.pmod(F.xxhash64(key, F.lit("block")), F.lit(n)).cast("int")
+    rows = left.select(at.alias("i"), F.explode(F.sequence(at, F.lit(n - 1)) if same else F.sequence(F.lit(0), F.lit(n - 1))).alias("j"), F.lit(0).alias("side"), *left.columns)
+    two = (left.where(at > 0) if same else right).select(F.explode(F.sequence(F.lit(0), at - 1) if same else F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), at.alias("j"), F.lit(1).alias("side"), *left.columns)
+    rows = rows.union(two).select((F.col("i") * n + F.col("j")).alias("pair"), "side", *left.columns)
 
     def meet(table: pa.Table) -> Iterator[pa.RecordBatch]:
         side = table["side"].to_numpy()
         x = table.slice(0, int((side == 0).sum()))
         y = x if same and table["pair"][0].as_py() % (n + 1) == 0 else table.slice(len(x))
         if len(x) and len(y):
-            yield from _compare(x, y, least, same, k)
+            yield from compare(x, y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -127,7 +138,7 @@ def _scored(left: DataFrame, right: DataFrame | None, least: float, k: int | Non
         if held:
             yield from meet(pa.Table.from_batches(held))
 
-    return rows.repartitionById(n * n, F.col("pair")).sortWithinPartitions("pair", "side").mapInArrow(run, "a long, b long, similarity double")
+    return rows.repartitionById(n * n, F.col("pair")).sortWithinPartitions("pair", "side").mapInArrow(run, schema)
 
 
 def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:

@@ -11,7 +11,7 @@ from .. import schema as S
 from ..functions import rules as R
 from ..functions import text as X
 from ..functions import udfs as U
-from ..operators import calibrate, corpus, decisions, dedup, docs, export, graph, guards, ingest, mining, verify
+from ..operators import calibrate, corpus, decisions, dedup, docs, export, graph, guards, ingest, mining, titles, verify
 from ..operators import names as N
 from ..operators.work import small_batches
 from . import views as V
@@ -338,10 +338,7 @@ def picked_blocks(spark, sf):
 @query()
 def similar_titles(spark, sf):
     """Page titles that are alike; a pair is compared if it shares a word."""
-    words = V.pages(spark, sf).select("page_id", "title", F.explode(F.array_distinct(F.split(F.lower("title"), r"(?U)\W+"))).alias("word")).where("word <> ''")
-    other = words.select(F.col("page_id").alias("other_id"), F.col("title").alias("other"), "word")
-    pairs = words.join(other, "word").where("page_id < other_id").select("page_id", "title", "other_id", "other").distinct()
-    return pairs.withColumn("similarity", U.similar("title", "other")).where(F.col("similarity") >= S.TITLE_SIMILARITY).select("page_id", "other_id", "similarity")
+    return titles.similar_titles(V.pages(spark, sf))
 
 
 # --- vectors ---------------------------------------------------------------------------------
