@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.text import key
 from .names import name_index, node_for_page, resolve
+from .work import saved
 
 
 def exact_matches(names: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -164,14 +165,15 @@ def vector_candidates(queries: DataFrame, nodes: DataFrame, least: float = S.VEC
 def cascade(names: DataFrame, nodes: DataFrame, pages: DataFrame, titles: DataFrame, judged: DataFrame, least: float = S.VECTOR_SIMILARITY) -> DataFrame:
     """(query_id, name, node_id, how) for candidates (query_id, name, embedding); node_id is null for a new concept.
 
-    Each stage sees only what earlier ones left.  ``judged`` (query_id,
+    Each stage sees only what earlier ones left, and is stored, so that it is
+    made once.  ``judged`` (query_id,
     node_id, relation) has the answers on vector candidates: the most similar
     candidate that is the same concept, or that a short name is a facet of,
     decides.
     """
-    exact = exact_matches(names, nodes)
+    exact = saved(exact_matches(names, nodes), "exact")
     done = exact.where("node_id IS NOT NULL").select("query_id", "name", "node_id", F.lit("exact").alias("how"))
-    redirect = redirect_matches(exact.where("node_id IS NULL").drop("node_id"), nodes, pages, titles)
+    redirect = saved(redirect_matches(exact.where("node_id IS NULL").drop("node_id"), nodes, pages, titles), "redirect")
     done = done.union(redirect.where("node_id IS NOT NULL").select("query_id", "name", "node_id", F.lit("redirect")))
     rest = redirect.where("node_id IS NULL").drop("node_id")
     near = vector_candidates(rest.where("embedding IS NOT NULL").select("query_id", "embedding"), nodes, least).join(judged, ["query_id", "node_id"]).join(rest.select("query_id", "name"), "query_id")

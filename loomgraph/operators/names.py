@@ -14,9 +14,9 @@ def name_index(nodes: DataFrame) -> DataFrame:
     A name counts for nodes of any status and beats aliases; an alias counts
     for nodes that aren't rejected.  Ties go to the smaller id.
     """
-    names = nodes.select(key(F.col("name")).alias("key"), F.struct(F.lit(0).alias("rank"), F.col("id")).alias("who"))
-    aliases = nodes.where("status <> 'rejected'").select(F.explode("aliases").alias("alias"), "id").select(F.lower("alias").alias("key"), F.struct(F.lit(1).alias("rank"), F.col("id")).alias("who"))
-    return names.union(aliases).groupBy("key").agg(F.min("who")["id"].alias("node_id"))
+    names = nodes.select(key(F.col("name")).alias("key"), F.col("id").alias("named"), F.lit(None).cast("long").alias("called"))
+    aliases = nodes.where("status <> 'rejected'").select(F.explode("aliases").alias("alias"), "id").select(F.lower("alias").alias("key"), F.lit(None).cast("long"), F.col("id"))
+    return names.union(aliases).groupBy("key").agg(F.coalesce(F.min("named"), F.min("called")).alias("node_id"))
 
 
 def resolve(rows: DataFrame, column: str, index: DataFrame, out: str) -> DataFrame:
@@ -60,7 +60,7 @@ def page_for_node(nodes: DataFrame, titles: DataFrame, node_page: DataFrame | No
 def node_for_page(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     """(page_id, lang, node_id): the first node, not rejected, with a name or alias among a page's title and redirects."""
     keys = pages.select("lang", "page_id", F.explode(F.concat(F.array("title"), F.coalesce("redirects", F.array().cast("array<string>")))).alias("t")).select("lang", "page_id", F.lower("t").alias("key")).distinct()
-    names = node_names(nodes.where("status <> 'rejected'")).select("node_id", F.lower("name").alias("key")).distinct()
+    names = node_names(nodes.where("status <> 'rejected'")).select("node_id", F.lower("name").alias("key"))
     return keys.join(names, "key").groupBy("lang", "page_id").agg(F.min("node_id").alias("node_id"))
 
 
